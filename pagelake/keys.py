@@ -49,3 +49,20 @@ def with_neighbour(
         *[F.col(c).alias(f"{c}{suffix}") for c in columns],
     )
     return df.join(other, [*keys, idx], "left")
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str | Column], value: str, name: str
+) -> DataFrame:
+    """Sum of ``value`` over the *earlier* rows of the key (0 for the first), chunked as above."""
+    work = df.withColumn("_chunk", chunk)
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = work.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        work.withColumn("_part", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(offsets, [*keys, "_chunk"])
+        .withColumn(name, F.col("_part") + F.col("_offset"))
+        .drop("_chunk", "_part", "_offset")
+    )
