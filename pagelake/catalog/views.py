@@ -32,9 +32,11 @@ SELECT doc_id, 1 + quality AS page_no,
        CAST(doc_id % 81 AS INT) - 40 AS bias
 FROM labels""",
     "t_gray": """
-SELECT doc_id, 1 AS page_no, CAST(i // 64 AS INT) AS y, CAST(i % 64 AS INT) AS x,
-       CASE WHEN i < length(text) THEN unicode(substring(text, CAST(i AS INT) + 1, 1)) % 256 ELSE 255 END AS g
-FROM (SELECT doc_id, text, unnest(range(0, 64 * CAST(greatest(1, ceil(length(text) / 64.0)) AS INT))) AS i FROM documents)""",
+SELECT doc_id, 1 AS page_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x,
+       CASE WHEN x < length(line) THEN unicode(substring(line, CAST(x AS INT) + 1, 1)) % 256 ELSE 255 END AS g
+FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS y
+      FROM (SELECT doc_id, CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '(?s).{1,64}') END AS l FROM documents)),
+     range(0, 64) r(x)""",
     "t_line": """
 SELECT doc_id, page_no, y, list(g ORDER BY x) AS px FROM t_gray GROUP BY ALL""",
     "e_gray": """

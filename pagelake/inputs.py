@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over the cores when the files offer fewer splits than that.
+
+    Expanding a text or vector into pixels multiplies the work per input byte;
+    a large, well-split table is left alone, so it pays no extra shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, key)
+
+
 def raw_file(spark, sf_dir):
     return table(spark, sf_dir, "pages").selectExpr(
         """concat(CASE WHEN page_id % 17 = 0 THEN '.' ELSE '' END, url,
@@ -78,7 +88,7 @@ def text_lines(spark, sf_dir):
     """Grey scanlines of every whole document text (doc_id, page_no, y, px)."""
     w = TEXT_WIDTH
     # Each line keeps its 64 characters only, so the text is not copied per line.
-    lines = table(spark, sf_dir, "documents").selectExpr(
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
         "doc_id",
         f"""posexplode(CASE WHEN length(text) = 0 THEN array('')
               ELSE regexp_extract_all(text, '(?s).{{1,{w}}}', 0) END) AS (y, line)""",
@@ -92,7 +102,7 @@ def text_lines(spark, sf_dir):
 
 def embed_lines(spark, sf_dir):
     """Embeddings as 8x8 grey pages."""
-    return table(spark, sf_dir, "embeddings").selectExpr(
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").selectExpr(
         "vec_id AS doc_id",
         """transform(embedding, v -> greatest(0, least(255,
              CAST(floor((CAST(v AS DOUBLE) * 3 + 1) * 127.5) AS INT)))) AS g""",

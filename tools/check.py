@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL on one data folder.
 
-    python tools/check.py [sf_dir] [name ...]
+    python tools/check.py [sf_dir] [name | @group ...]
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import math
 import os
 import sys
 import time
+from importlib import import_module
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -42,7 +43,9 @@ def rows_of(cols, rows):
 
 def main(argv):
     sf = argv[0] if argv else "/root/testdata/sf0.001"
-    wanted = argv[1:]
+    wanted = [a for a in argv[1:] if not a.startswith("@")]
+    for group in (a[1:] for a in argv[1:] if a.startswith("@")):
+        wanted += import_module(f"pagelake.catalog.{group}").QUERIES
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for f in glob.glob(f"{sf}/*.parquet"):
