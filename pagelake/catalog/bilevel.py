@@ -47,10 +47,10 @@ def q_dark(spark, d):
 def q_background(spark, d):
     lines = i.text_lines(spark, d)
     return binarize.background_at(lines, binarize.block_stats(lines, B), B).selectExpr(
-        "doc_id", "page_no", "y", "CAST(floor(array_min(transform(background, c -> c.m)) * 1000000 + 0.25D) AS BIGINT) AS m_min",
-        "CAST(floor(array_max(transform(background, c -> c.m)) * 1000000 + 0.25D) AS BIGINT) AS m_max",
-        "aggregate(background, 0L, (a, c) -> a + CAST(floor(c.m * 16 + 0.25D) AS BIGINT)) AS m_sum",
-        "round(array_max(transform(background, c -> c.d)), 6) AS d_max")
+        "doc_id", "page_no", "y", "CAST(floor(array_min(paper) * 1000000 + 0.25D) AS BIGINT) AS m_min",
+        "CAST(floor(array_max(paper) * 1000000 + 0.25D) AS BIGINT) AS m_max",
+        "aggregate(paper, 0L, (a, m) -> a + CAST(floor(m * 16 + 0.25D) AS BIGINT)) AS m_sum",
+        "round(array_max(structure), 6) AS d_max")
 
 
 def _binarized(spark, d, **kw):
