@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _GROUPS = [
-    "sizing", "intake", "layout", "bilevel", "color", "detect",
+    "sizing", "intake", "layout", "bilevel", "color", "detect", "objects", "profile",
 ]
 
 
