@@ -7,9 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_GROUPS = [
-    "sizing", "intake", "layout", "bilevel", "color", "detect", "objects", "profile",
-]
+
+
+_GROUPS = ["sizing", "intake", "layout", "bilevel", "color", "detect", "objects", "profile", "flow"]
 
 
 def _collect(attr: str) -> dict:
