@@ -122,7 +122,7 @@ def q_save(spark, d):
     sinks.save_results(i.table(spark, d, "orders").selectExpr(
         "o_orderkey AS doc_id", "concat(o_orderkey, '.pdf') AS out_name", "o_orderdate AS finished_at",
         "CASE WHEN o_orderstatus = 'P' THEN 'pending' END AS error"), out)
-    return spark.read.parquet(out).selectExpr("doc_id", "out_name", "CAST(day AS STRING) AS day")
+    return spark.read.parquet(out).selectExpr("doc_id", "out_name", "CAST(month AS STRING) AS month")
 
 
 def q_profile_write(spark, d):
@@ -274,7 +274,7 @@ WITH arr AS (SELECT page_id, strlen(html) AS bytes, 'Akte_' || page_id % 40 AS s
   FROM pages WHERE page_id % 31 <> 0), have AS (SELECT DISTINCT page_id % 7 AS h FROM pages)
 SELECT CASE WHEN h IS NULL THEN CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END ELSE stem || '_' || (k + 1) END || '.pdf' AS name, bytes
 FROM arr LEFT JOIN have ON 'Akte_' || h = stem""",
-    "save_results": """SELECT o_orderkey AS doc_id, o_orderkey || '.pdf' AS out_name, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus <> 'P'""",
+    "save_results": """SELECT o_orderkey AS doc_id, o_orderkey || '.pdf' AS out_name, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderstatus <> 'P'""",
     "profile_import": f"""SELECT owner, CASE owner % 5 WHEN 0 THEN 'wrong application' WHEN 1 THEN 'no signatures' END AS reason,
   CAST(CASE WHEN owner % 5 > 1 THEN n END AS INT) AS n_signatures FROM ({_EXPORT})""",
     "page_images": sql("""SELECT doc_id, y, CAST(sum(g) AS INT) AS total, 8 AS src_w, 8 AS src_h FROM e_gray WHERE doc_id % 50 <> 0 GROUP BY doc_id, y""", "e_gray"),
