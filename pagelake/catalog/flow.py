@@ -236,7 +236,7 @@ SELECT m.batch_id, count(*) FILTER (ok AND (stop IS NULL OR seq <= stop)) AS n_p
 FROM marks m LEFT JOIN ends e ON e.batch_id = m.batch_id GROUP BY m.batch_id"""
 _SESS = """
 SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY ts, seq) AS s FROM (
-  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh
+  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh
   FROM profile_change WINDOW w AS (PARTITION BY owner ORDER BY ts, seq))"""
 _RECEIPTS = rf"""
 SELECT name, bytes FROM (SELECT name, bytes, row_number() OVER (PARTITION BY name ORDER BY page_id DESC) AS r
