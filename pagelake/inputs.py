@@ -95,8 +95,7 @@ def text_lines(spark, sf_dir):
     )
     return lines.selectExpr(
         "doc_id", "1 AS page_no", "y",
-        f"transform(sequence(1, {w}), i -> CASE WHEN i <= length(line)"
-        " THEN ascii(substring(line, i, 1)) % 256 ELSE 255 END) AS px",
+        f"transform(split(rpad(line, {w}, chr(255)), ''), c -> ascii(c) % 256) AS px",
     )
 
 

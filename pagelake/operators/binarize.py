@@ -1,7 +1,7 @@
 """Adaptive black-and-white conversion on a block grid.
 
-Pixels are reduced to block sums inside their own line; only one row per block
-(1/1024 of the pixels at the default block size) is shuffled for statistics.
+Pixels are exploded and summed in the same code-generated stage (map-side
+combine), so about one row per block and task is shuffled for statistics.
 Each scanline then meets its block row once, on (page, block row).
 """
 
@@ -20,16 +20,11 @@ DIM = 110
 
 def block_stats(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """Count, mean and population deviation of every block cell."""
-    cells = lines.selectExpr(
-        *PAGE, f"y div {block} AS by",
-        f"""posexplode(transform(sequence(0, (size(px) - 1) div {block}), k -> aggregate(slice(px, CAST(k * {block} + 1 AS INT), {block}),
-              named_struct('n', 0L, 's', 0L, 'q', 0L),
-              (a, v) -> named_struct('n', a.n + 1L, 's', a.s + v, 'q', a.q + v * v)))) AS (bx, c)""",
-    )
-    return cells.groupBy(*PAGE, "by", "bx").agg(
-        F.sum("c.n").alias("n"), F.sum("c.s").alias("s"), F.sum("c.q").alias("q")
+    px = lines.select(*PAGE, F.expr(f"CAST(y div {block} AS INT)").alias("by"), F.posexplode("px").alias("x", "v"))
+    return px.groupBy(*PAGE, "by", F.expr(f"CAST(x div {block} AS INT)").alias("bx")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.expr("CAST(v AS BIGINT) * v")).alias("q")
     ).selectExpr(
-        *PAGE, "CAST(by AS INT) AS by", "bx", "n", "s / n AS mean", "sqrt(greatest(0D, q / n - (s / n) * (s / n))) AS dev"
+        *PAGE, "by", "bx", "n", "s / n AS mean", "sqrt(greatest(0D, q / n - (s / n) * (s / n))) AS dev"
     )
 
 

@@ -108,8 +108,7 @@ def white_mask(lines: DataFrame, bias: int = 0) -> DataFrame:
 def page_qa(lines: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """Quality shares per page, or per region (half-open pixel boxes).
 
-    Counting happens inside each line, so a line sends one small row; distinct
-    colours are reduced per line before they meet.
+    One explode and two aggregates, all code-generated.
     """
     keys = [*PAGE]
     if regions is not None:
@@ -117,24 +116,20 @@ def page_qa(lines: DataFrame, regions: DataFrame | None = None) -> DataFrame:
         lines = lines.join(regions, PAGE).where("y >= ry0 AND y < ry1").selectExpr(
             *keys, "y", *[f"slice({c}, rx0 + 1, greatest(least(rx1, size({c})) - rx0, 0)) AS {c}" for c in "rgb"]
         )
-    px = lines.withColumn(
-        "c",
-        F.expr("""transform(arrays_zip(r, g, b), p -> named_struct(
-              'l', shiftright(77 * p.r + 151 * p.g + 28 * p.b, 8),
-              's', greatest(p.r, p.g, p.b) - least(p.r, p.g, p.b), 'k', p.r * 65536 + p.g * 256 + p.b))"""),
-    ).selectExpr(
-        *keys, "size(c) AS n", "size(filter(c, p -> p.l < 60)) AS b60", "size(filter(c, p -> p.l < 128)) AS b128",
-        "size(filter(c, p -> p.l > 230)) AS w", "size(filter(c, p -> p.l < 245)) AS nw",
-        "size(filter(c, p -> p.s > 40)) AS col", "array_distinct(transform(c, p -> p.k)) AS kinds",
-    )
-    shares = px.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "b60", "b128", "w", "nw", "col")])
-    colours = (
-        px.select(*keys, F.explode("kinds").alias("k")).distinct()
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_colours"))
+    # The colour decides every share, so pixels are first counted per colour
+    # (combined map-side); that also gives the exact number of colours.
+    px = lines.selectExpr(*keys, "inline(arrays_zip(r, g, b))")
+    kinds = px.groupBy(*keys, F.expr("r * 65536 + g * 256 + b").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    rgb = kinds.selectExpr(*keys, "n", "shiftright(k, 16) AS r", "shiftright(k, 8) & 255 AS g", "k & 255 AS b").selectExpr(
+        *keys, "n", "shiftright(77 * r + 151 * g + 28 * b, 8) AS l", "greatest(r, g, b) - least(r, g, b) AS s"
     )
-    return shares.join(colours, keys).selectExpr(
-        *keys, "b60 / n AS black60", "b128 / n AS black128", "w / n AS white230", "nw / n AS nonwhite245",
-        "col / n AS coloured", "n_colours",
+
+    def share(cond: str, name: str):
+        return (F.sum(F.expr(f"CASE WHEN {cond} THEN n ELSE 0 END")) / F.sum("n")).alias(name)
+
+    return rgb.groupBy(*keys).agg(
+        share("l < 60", "black60"), share("l < 128", "black128"), share("l > 230", "white230"),
+        share("l < 245", "nonwhite245"), share("s > 40", "coloured"), F.count(F.lit(1)).alias("n_colours"),
     )
 
 
