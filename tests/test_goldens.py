@@ -498,3 +498,31 @@ def test_debounce_stream_equals_batch(spark):
     stream = jobs.debounced_profile(spark.readStream.schema(schema).parquet(folder), keys, late="1 second")
     got = jobs.drain(stream, "debounce").where("owner = 1").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+# --------------------------------------------------------------------- chains
+
+def test_chains(spark):
+    from pagelake.plans import chains
+
+    g = dark_photo()
+    rgb = lines(spark, g).selectExpr("doc_id", "explode(array(1, 2)) AS page_no", "y", "px AS r", "px AS g", "px AS b")
+    pages = spark.createDataFrame([(1, 1, 112.0, 150.0), (1, 2, 112.0, 150.0)], "doc_id long, page_no int, w_pt double, h_pt double")
+    ov = spark.createDataFrame([(1, 1, "extrem-sw", 0), (1, 2, "extrem-farbe", 0)], "doc_id long, page_no int, preset string, bias int")
+    parts = chains.compress(pages, rgb, ov, {"mode": "raster", "color_mode": "color", "dpi": 150})
+    data = b"".join(bytes(r.content) for r in parts.orderBy("offset").collect())
+    assert data.startswith(b"%PDF-1.5") and data.endswith(b"%%EOF\n") and b"/Indexed" in data
+
+    scans = spark.createDataFrame([(1, 1, 112, 150, None, "left", "top")],
+                                  "doc_id long, page_no int, px_w int, px_h int, scan_dpi int, origin_x string, origin_y string")
+    sheet = np.full((150, 112), 30)
+    sheet[40:121, 20:91] = 220
+    flat = back(chains.straighten(scans, lines(spark, sheet)))
+    assert abs(flat.shape[0] - 1.2 * 80) <= 3 and abs(flat.shape[1] - 1.2 * 70) <= 3 and flat[10:-10, 10:-10].min() > 200
+
+    files = spark.createDataFrame([("b.pdf", 2, 10, True), ("a.png", 1, 11, True), ("c.pdf", 3, 12, True)],
+                                  "name string, modified_ms long, doc_id long, readable boolean")
+    sel = spark.createDataFrame([("a.png",), ("b.pdf",)], "name string")
+    merged, lineage = chains.take_over(files, sel, spark.createDataFrame([(10, 1), (10, 2)], "doc_id long, page_no int"), 5)
+    assert [(r.pos, r.doc_id) for r in merged.orderBy("pos").collect()] == [(1, 11), (2, 10), (3, 10)]
+    assert [r.name for r in lineage.orderBy("order_no").collect()] == ["a.png", "b.pdf"]
