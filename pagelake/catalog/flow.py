@@ -14,7 +14,7 @@ from ..sinks import files as sinks
 from ..sources import files as sources
 from ..streaming import jobs
 from .bilevel import _bits
-from .profile import q_export
+from .profile import SQL as PROFILE_SQL, q_export
 from .views import sql
 
 NOW = 1717243200000
@@ -275,6 +275,7 @@ WITH arr AS (SELECT page_id, strlen(html) AS bytes, 'Akte_' || page_id % 40 AS s
 SELECT CASE WHEN h IS NULL THEN CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END ELSE stem || '_' || (k + 1) END || '.pdf' AS name, bytes
 FROM arr LEFT JOIN have ON 'Akte_' || h = stem""",
     "save_results": """SELECT o_orderkey AS doc_id, o_orderkey || '.pdf' AS out_name, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderstatus <> 'P'""",
+    "profile_write": f"SELECT * FROM ({PROFILE_SQL['profile_export']}) WHERE owner % 7 <> 0",
     "profile_import": f"""SELECT owner, CASE owner % 5 WHEN 0 THEN 'wrong application' WHEN 1 THEN 'no signatures' END AS reason,
   CAST(CASE WHEN owner % 5 > 1 THEN n END AS INT) AS n_signatures FROM ({_EXPORT})""",
     "page_images": sql("""SELECT doc_id, y, CAST(sum(g) AS INT) AS total, 8 AS src_w, 8 AS src_h FROM e_gray WHERE doc_id % 50 <> 0 GROUP BY doc_id, y""", "e_gray"),

@@ -28,3 +28,13 @@ def drawn(c: str) -> str:
 def number(e: str) -> str:
     """Two decimals at most, without a trailing ``.0``."""
     return f"regexp_replace(CAST(floor(({e}) * 100 + 0.5D) / 100D AS STRING), '\\\\.0$', '')"
+
+
+def valid_json(c: str) -> str:
+    """True for exactly one JSON value.
+
+    The parser stops after the first value, so the text is tried inside a list
+    and inside an object: only a complete value closes both.
+    """
+    inside = [f"concat('[', {c}, ']')", f"concat('{{\"v\":', {c}, '}}')"]
+    return " AND ".join(f"try_parse_json({t}) IS NOT NULL" for t in inside)

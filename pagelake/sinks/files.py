@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..fixed import PROFILE_LIMIT
 from ..functions import names as n
+from ..functions.text import valid_json
 from ..operators.intake import allocate_names, validate_upload
 from ..session import cut_lineage
 
@@ -134,7 +135,7 @@ def profile_check(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn(
         "reason",
         F.expr(f"""CASE WHEN octet_length(document) > {PROFILE_LIMIT} THEN 'too large'
-                     WHEN try_parse_json(document) IS NULL THEN 'not json' END"""),
+                     WHEN NOT ({valid_json('document')}) THEN 'not json' END"""),
     )
 
 

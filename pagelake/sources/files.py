@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed import IMPORT_ENDING, IMPORT_MAX_EDGE
+from ..functions.text import valid_json
 from ..operators.intake import raw_catalog_df
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -92,7 +93,7 @@ def profile_parse(documents: DataFrame, app: str) -> DataFrame:
     """
     return documents.selectExpr(
         "*",
-        f"""CASE WHEN try_parse_json(document) IS NULL THEN 'not json'
+        f"""CASE WHEN NOT ({valid_json('document')}) THEN 'not json'
              WHEN NOT coalesce(get_json_object(document, '$.app') = '{app}', false) THEN 'wrong application'
              WHEN NOT coalesce(get_json_object(document, '$.signatures') LIKE '[%', false) THEN 'no signatures' END AS reason""",
     ).selectExpr(

@@ -438,8 +438,9 @@ def test_profile_round(spark):
     folder = scratch_path(spark, "prof")
     assert sources.profile_snapshot(spark, folder).isEmpty()
     os.makedirs(folder)
-    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{oops")], "owner long, document string")
-    assert [r.reason for r in sinks.profile_write(df, folder).collect()] == ["not json"]
+    bad = ["{oops", '"a": 1}', '{"a": 1} x', "1, 2", "1]", "1}"]
+    df = spark.createDataFrame([(1, '{"a": 1}'), *[(k + 2, t) for k, t in enumerate(bad)]], "owner long, document string")
+    assert [r.reason for r in sinks.profile_write(df, folder).collect()] == ["not json"] * len(bad)
     assert [r.owner for r in sources.profile_snapshot(spark, folder).collect()] == [1]
     sinks.profile_write(spark.createDataFrame([(3, "[]")], "owner long, document string"), folder)
     assert [r.owner for r in sources.profile_snapshot(spark, folder).collect()] == [3]
@@ -513,12 +514,13 @@ def test_chains(spark):
     data = b"".join(bytes(r.content) for r in parts.orderBy("offset").collect())
     assert data.startswith(b"%PDF-1.5") and data.endswith(b"%%EOF\n") and b"/Indexed" in data
 
-    scans = spark.createDataFrame([(1, 1, 112, 150, None, "left", "top")],
+    scans = spark.createDataFrame([(1, 1, 200, 240, None, "left", "top")],
                                   "doc_id long, page_no int, px_w int, px_h int, scan_dpi int, origin_x string, origin_y string")
-    sheet = np.full((150, 112), 30)
-    sheet[40:121, 20:91] = 220
+    # Large enough that the dark frame's own outline exceeds 98.5 % of the page.
+    sheet = np.full((240, 200), 30)
+    sheet[60:181, 40:161] = 220
     flat = back(chains.straighten(scans, lines(spark, sheet)))
-    assert abs(flat.shape[0] - 1.2 * 80) <= 3 and abs(flat.shape[1] - 1.2 * 70) <= 3 and flat[10:-10, 10:-10].min() > 200
+    assert abs(flat.shape[0] - 1.2 * 120) <= 4 and abs(flat.shape[1] - 1.2 * 120) <= 4 and flat[10:-10, 10:-10].min() > 200
 
     files = spark.createDataFrame([("b.pdf", 2, 10, True), ("a.png", 1, 11, True), ("c.pdf", 3, 12, True)],
                                   "name string, modified_ms long, doc_id long, readable boolean")
