@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs as i
 from ..operators import assemble, attempts
-from ..session import scratch_path
+from ..session import local_path, scratch_path
 from ..sinks import files as sinks
 from ..sources import files as sources
 from ..streaming import jobs
@@ -131,7 +131,7 @@ def q_profile_write(spark, d):
     docs = q_export(spark, d).withColumn("document", F.expr("CASE WHEN owner % 7 = 0 THEN substring(document, 2, 50) ELSE document END"))
     import os
 
-    os.makedirs(out, exist_ok=True)
+    os.makedirs(local_path(out), exist_ok=True)
     sinks.profile_write(docs, out)
     return sources.profile_snapshot(spark, out)
 
@@ -176,7 +176,7 @@ def q_import_folder(spark, d):
     import os
     import pandas as pd
 
-    root = scratch_path(spark, "tree")
+    root = local_path(scratch_path(spark, "tree"))
 
     def put(batches):
         for pdf in batches:

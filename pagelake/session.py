@@ -41,6 +41,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def local_path(path: str) -> str:
+    """Path for file calls on a shared mount that was named as a ``file:`` URI."""
+    return path.removeprefix("file://").removeprefix("file:")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"

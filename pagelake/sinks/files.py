@@ -18,7 +18,7 @@ from ..fixed import PROFILE_LIMIT
 from ..functions import names as n
 from ..functions.text import valid_json
 from ..operators.intake import allocate_names, validate_upload
-from ..session import cut_lineage
+from ..session import cut_lineage, local_path
 
 
 def _write_files(folder: str):
@@ -37,7 +37,7 @@ def _write_files(folder: str):
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Write (name, content) rows; receipts (name, bytes) are stored before they are returned."""
-    done = files.select("name", "content").mapInPandas(_write_files(folder), "name string, bytes long")
+    done = files.select("name", "content").mapInPandas(_write_files(local_path(folder)), "name string, bytes long")
     return cut_lineage(done, "receipts")
 
 
@@ -110,13 +110,14 @@ def write_parts(parts: DataFrame, folder: str) -> DataFrame:
     tasks. Files are renamed only after all part receipts are stored.
     """
     run_id = uuid.uuid4().hex[:8]
-    put = cut_lineage(parts.select("name", "offset", "content").mapInPandas(_put_parts(folder, run_id), "name string, bytes long"), "parts")
+    put = cut_lineage(parts.select("name", "offset", "content").mapInPandas(_put_parts(local_path(folder), run_id), "name string, bytes long"), "parts")
     whole = put.groupBy("name").agg(F.sum("bytes").alias("bytes"))
-    return cut_lineage(whole.mapInPandas(_publish(folder, run_id), "name string, bytes long, complete boolean"), "published")
+    return cut_lineage(whole.mapInPandas(_publish(local_path(folder), run_id), "name string, bytes long, complete boolean"), "published")
 
 
 def delete_files(files: DataFrame, folder: str) -> DataFrame:
     """Remove intake files by name; one that is already gone counts as removed."""
+    folder = local_path(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,8 +149,8 @@ def profile_write(profiles: DataFrame, folder: str) -> DataFrame:
     checked = profile_check(profiles)
     version = f"v-{uuid.uuid4().hex[:12]}"
     checked.where("reason IS NULL").select("owner", "document").write.parquet(f"{folder}/{version}")
-    tmp = os.path.join(folder, f".CURRENT.{version}")
+    tmp = os.path.join(local_path(folder), f".CURRENT.{version}")
     with open(tmp, "w") as f:
         f.write(version)
-    os.replace(tmp, os.path.join(folder, "CURRENT"))
+    os.replace(tmp, os.path.join(local_path(folder), "CURRENT"))
     return checked.where("reason IS NOT NULL")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..fixed import IMPORT_ENDING, IMPORT_MAX_EDGE
 from ..functions.text import valid_json
 from ..operators.intake import raw_catalog_df
+from ..session import local_path
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -79,7 +80,7 @@ def page_images(spark: SparkSession, folder: str, max_edge: int = IMPORT_MAX_EDG
 def profile_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Stored profiles; a missing profile is empty, any other problem surfaces."""
     try:
-        with open(os.path.join(folder, "CURRENT")) as f:
+        with open(os.path.join(local_path(folder), "CURRENT")) as f:
             version = f.read().strip()
     except FileNotFoundError:
         return spark.createDataFrame([], "owner long, document string")
