@@ -7,19 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.inputs import table
-from . import near_dedup, quality
+from . import near_dedup, quality, secrets
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS path", "0L AS version", "text")
+    return secrets.digest(secrets.scan_versions(docs, secrets.empty_ledger(spark)))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality}
+    return {"op1_minhash": op1_minhash, "op3_secrets": op3_secrets, "op6_quality": op6_quality}
 
 
 def checks() -> dict[str, str]:
