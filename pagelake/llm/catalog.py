@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.inputs import table
-from . import near_dedup, quality, secrets
+from . import mixing, near_dedup, quality, secrets, sharding
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +19,22 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(docs, secrets.empty_ledger(spark)))
 
 
+def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_secrets": op3_secrets, "op6_quality": op6_quality}
+    return {"op1_minhash": op1_minhash, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
+            "op5_mix": op5_mix, "op6_quality": op6_quality}
 
 
 def checks() -> dict[str, str]:
