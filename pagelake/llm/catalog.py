@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.inputs import table
-from . import mixing, near_dedup, quality, secrets, sharding, token_files
+from . import html_text, mixing, near_dedup, quality, secrets, sharding, token_files
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_minhash": op1_minhash, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
-            "op5_mix": op5_mix, "op6_quality": op6_quality, "op10_tokens": op10_tokens}
+            "op5_mix": op5_mix, "op6_quality": op6_quality, "op8_html": op8_html, "op10_tokens": op10_tokens}
 
 
 def checks() -> dict[str, str]:
