@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.inputs import table
-from . import html_text, mixing, near_dedup, quality, secrets, sharding, token_files
+from . import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_files
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS path", "0L AS version", "text")
     return secrets.digest(secrets.scan_versions(docs, secrets.empty_ledger(spark)))
@@ -41,7 +45,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
+    return {"op1_minhash": op1_minhash, "op2_decontamination": op2_decontamination, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
             "op5_mix": op5_mix, "op6_quality": op6_quality, "op8_html": op8_html, "op10_tokens": op10_tokens}
 
 
