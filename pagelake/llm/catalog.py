@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelake.inputs import table
-from . import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_files
+from . import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_files, url_filter
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,47 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched at the time of the event of their number; the events of a user change entries for that page's address."""
+    pages, events = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "events")
+    fetched = events.selectExpr("event_id AS page_id", "ts AS fetched_at")
+    host, path = url_filter.host_of(F.col("url")), F.regexp_extract("url", url_filter.PATH, 1)
+    pattern = F.when(F.col("event_id") % 3 == 0, host).when(
+        F.col("event_id") % 3 == 1, F.regexp_replace(host, r"^[^.]*\.(?=[^.]*\.)", "")
+    ).otherwise(F.concat(host, F.regexp_extract(path, r"^/[^/]*", 0)))
+    changes = events.join(pages.withColumnRenamed("page_id", "user_id"), "user_id").select(
+        F.when(F.col("event_id") % 2 == 0, "spam").otherwise("adult").alias("list"), pattern.alias("pattern"),
+        F.when(F.col("event_type").isin("error", "view"), "remove").otherwise("add").alias("action"), F.col("ts").alias("at"),
+    )
+    return url_filter.judge(pages.join(fetched, "page_id", "left"), changes)
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') AS host,
+                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+ changes AS (
+  SELECT CASE WHEN event_id % 2 = 0 THEN 'spam' ELSE 'adult' END AS list,
+         CASE event_id % 3 WHEN 0 THEN host
+              WHEN 1 THEN CASE WHEN length(host) - length(replace(host, '.', '')) >= 2 THEN substr(host, strpos(host, '.') + 1) ELSE host END
+              ELSE host || regexp_extract(path, '^/[^/]*', 0) END AS pattern,
+         ts AS "at", max(CASE WHEN event_type IN ('error', 'view') THEN 'remove' ELSE 'add' END) AS action
+  FROM events JOIN p ON events.user_id = p.page_id GROUP BY ALL),
+ spans AS (SELECT list, pattern, action, "at" AS valid_from, lead("at") OVER (PARTITION BY list, pattern ORDER BY "at") AS valid_to FROM changes),
+ captures AS (SELECT p.page_id, url, host, path, ts AS fetched_at, string_split(host, '.') AS l,
+                     list_filter(string_split(path, '/'), lambda x: x <> '') AS s
+              FROM p LEFT JOIN events ON events.event_id = p.page_id),
+ keys AS (SELECT DISTINCT page_id, fetched_at, unnest(list_concat(
+            list_transform(range(1, greatest(len(l), 2)), lambda i: array_to_string(list_slice(l, i, len(l)), '.')),
+            list_transform(range(1, len(s) + 1), lambda i: host || '/' || array_to_string(list_slice(s, 1, i), '/')))) AS pattern
+          FROM captures WHERE host <> ''),
+ found AS (SELECT page_id, count(*) AS n_active, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists
+           FROM keys JOIN spans USING (pattern)
+           WHERE action = 'add' AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id)
+SELECT page_id, url, fetched_at, host, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked
+FROM captures LEFT JOIN found USING (page_id)
+"""
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -46,8 +87,8 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_minhash": op1_minhash, "op2_decontamination": op2_decontamination, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
-            "op5_mix": op5_mix, "op6_quality": op6_quality, "op8_html": op8_html, "op10_tokens": op10_tokens}
+            "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_url_filter": op7_url_filter, "op8_html": op8_html, "op10_tokens": op10_tokens}
 
 
 def checks() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": OP7_SQL}
