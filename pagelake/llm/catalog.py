@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelake.inputs import table
-from . import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_files, url_filter
+from . import decontaminate, html_text, mixing, near_dedup, passages, quality, secrets, sharding, token_files, url_filter
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,17 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_minhash": op1_minhash, "op2_decontamination": op2_decontamination, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
-            "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_url_filter": op7_url_filter, "op8_html": op8_html, "op10_tokens": op10_tokens}
+            "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_url_filter": op7_url_filter, "op8_html": op8_html, "op9_passages": op9_passages, "op10_tokens": op10_tokens}
 
 
 def checks() -> dict[str, str]:
