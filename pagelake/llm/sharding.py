@@ -36,8 +36,8 @@ def ring(spark: SparkSession, shards: int, virtual_nodes: int, cells: int = CELL
     Two virtual nodes at one position: the one with the smaller hash counts.
     """
     nodes = spark.range(shards * virtual_nodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit(_SEED), "id").alias("h")
-    )
+        F.expr(f"CAST(id div {virtual_nodes} AS INT)").alias("shard"), (F.col("id") % virtual_nodes).alias("node")
+    ).withColumn("h", F.xxhash64(F.lit(_SEED), "shard", "node"))
     at = nodes.groupBy(cell_of(F.col("h"), cells).alias("cell")).agg(F.min_by("shard", "h").alias("shard"))
     ahead = W.orderBy("cell").rowsBetween(0, W.unboundedFollowing)
     whole = W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
