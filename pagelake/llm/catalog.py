@@ -11,7 +11,7 @@ from . import decontaminate, html_text, mixing, near_dedup, passages, quality, s
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2).drop("h")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("h")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

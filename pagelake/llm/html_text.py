@@ -35,7 +35,12 @@ from .words import map_batches
 SAMPLE_PAGES, TEACHING_WEIGHT, DIMENSIONS, ROUNDS, RIDGE = 300, 8, 1 << 13, 120, 0.02
 
 _REGION = frozenset({"article", "main"})
-_APART = frozenset({"nav", "aside", "footer", "header", "form"})
+_APART = frozenset({"nav", "aside", "footer", "form"})
+# Class and id words of what is never the article's own text.
+_APART_NAMES = frozenset(
+    "ad ads advert advertisement banner breadcrumb comment comments cookie newsletter notice popup promo related share sidebar social "
+    "sponsored subscribe widget".split()
+)
 
 # Hand-labelled teaching pages. "+" before a block's text marks main text.
 TEACHING_PAGES = [
@@ -99,9 +104,9 @@ def teaching_pages() -> list[tuple[list[np.ndarray], list[int]]]:
 
 
 def own_label(block: Block) -> int:
-    """1 inside article or main, unless a navigation element lies between; the page's own markup."""
+    """1 inside article or main, unless it is in a part that its tag or name sets apart; the page's own markup."""
     at = max((i for i, t in enumerate(block.tags) if t in _REGION), default=-1)
-    return int(at >= 0 and not _APART.intersection(block.tags[at:]))
+    return int(at >= 0 and not _APART.intersection(block.tags[at:]) and not _APART_NAMES.intersection(block.names))
 
 
 def _learnt(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ without words has zero targets. Null doc_ids are ordered like ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagelake.session import cut_lineage
 from .ranks import before_in_order, cell_of, unsigned
@@ -39,6 +39,11 @@ GRID, SLOT_CHUNK = 1 << 12, 1 << 14
 _SEED = 5
 
 
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """Random order of a source's documents, the same in every run."""
+    return F.xxhash64(F.lit(_SEED), doc_id, text)
+
+
 def targets(sizes: DataFrame, passes: int = PASSES) -> DataFrame:
     """source, source_no, source_size, target (double) and quota (whole words) of (source, source_size)."""
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, passes: int = PASSES) -> Data
     ``taken`` counts the words of the document in the blocks that the schedule takes.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(_SEED), "doc_id", "text").alias("h"))
+    own = docs.select("doc_id", "source", size.alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     own = cut_lineage(own.withColumn("cell", cell_of(F.col("h"))), "sized")
     goals = cut_lineage(targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), passes), "targets")
     named = goals.withColumnRenamed("source", "name")

@@ -106,16 +106,16 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = list(zip(*map(measure, utf8(batch.column("text")))))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("ref"), *[pa.array(x, pa.int64()) for x in found[:5]],
+            [batch.column("doc_id"), batch.column("h"), batch.column("ref"), *[pa.array(x, pa.int64()) for x in found[:5]],
              *[list_column(list(x), pa.int64()) for x in found[5:]]],
-            names=["doc_id", "ref", *_PLAIN, "chars", "bins"],
+            names=["doc_id", "h", "ref", *_PLAIN, "chars", "bins"],
         )
 
     known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("other")
     plain = ", ".join(f"{c} long" for c in _PLAIN)
     return map_batches(
-        docs.select("doc_id", known.alias("ref"), "text"), run,
-        f"doc_id long, ref string, {plain}, chars array<long>, bins array<long>",
+        docs.select("doc_id", F.xxhash64("text").alias("h"), known.alias("ref"), "text"), run,
+        f"doc_id long, h long, ref string, {plain}, chars array<long>, bins array<long>",
     )
 
 
@@ -144,7 +144,7 @@ def _shares(name: str) -> Column:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the plain figures, base_failed, both distances (null below the guard) and kept."""
+    """doc_id, the plain figures, base_failed, both distances (null below the guard), kept and h (the text's hash)."""
     repeated = F.expr(f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     found = cut_lineage(
         features(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated), "quality"
@@ -161,5 +161,5 @@ def judge(docs: DataFrame) -> DataFrame:
             ("word_distance", WORD_LIMIT, WORD_SCATTER, "n_words"), ("char_distance", CHAR_LIMIT, CHAR_SCATTER, "word_chars"))
     ])
     return both.withColumn("kept", ~F.col("base_failed") & ~far).select(
-        "doc_id", *_PLAIN, "base_failed", "word_distance", "char_distance", "kept"
+        "doc_id", *_PLAIN, "base_failed", "word_distance", "char_distance", "kept", "h"
     )
