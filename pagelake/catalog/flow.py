@@ -254,8 +254,11 @@ WITH log AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id O
   CASE event_type WHEN 'view' THEN 503 WHEN 'error' THEN 503 WHEN 'click' THEN 409 WHEN 'purchase' THEN 201 ELSE 400 END AS status FROM events)
 SELECT job_id, seq, status, 1.5::DOUBLE * (seq - 1) AS wait_s, CASE WHEN status = 201 THEN 'started' WHEN status IN (503, 409) AND seq < 4 THEN 'retry' ELSE 'rejected' END AS result
 FROM log l WHERE seq <= 4 AND NOT EXISTS (SELECT 1 FROM log p WHERE p.job_id = l.job_id AND p.seq < l.seq AND p.status NOT IN (503, 409))""",
-    "debounced_profile": sql("SELECT owner, max(ts) + INTERVAL 6 HOUR AS flush_at, count(*) AS n_changes, "
-        + ", ".join(f"arg_max(value, seq) FILTER (key = '{k}') AS {k}" for k in KINDS) + " FROM sess GROUP BY owner, s", "profile_change", sess=_SESS),
+    "debounced_profile": sql("SELECT owner, flush_at, n_changes, "
+        + ", ".join(f"last_value({k} IGNORE NULLS) OVER w AS {k}" for k in KINDS)
+        + " FROM (SELECT owner, max(ts) + INTERVAL 6 HOUR AS flush_at, count(*) AS n_changes, "
+        + ", ".join(f"arg_max(value, seq) FILTER (key = '{k}') AS {k}" for k in KINDS)
+        + " FROM sess GROUP BY owner, s) WINDOW w AS (PARTITION BY owner ORDER BY flush_at ROWS UNBOUNDED PRECEDING)", "profile_change", sess=_SESS),
     "coalesced_requests": sql("""SELECT owner, max(ts) + INTERVAL 6 HOUR AS run_at, count(*) AS n_requests, arg_max(value, seq) AS value
 FROM sess GROUP BY owner, s""", "profile_change", sess=_SESS),
     "collapse_pending": sql("SELECT owner, count(*) AS n_requests, arg_max(value, seq) AS value FROM profile_change GROUP BY owner", "profile_change"),

@@ -22,8 +22,12 @@ def q_add(spark, d):
     new = i.table(spark, d, "supplier").selectExpr(
         "CASE WHEN s_suppkey % 2 = 0 THEN concat('own', s_suppkey) END AS id", "s_name AS name",
         "CASE WHEN s_suppkey % 3 = 0 THEN 0L WHEN s_suppkey % 3 = 1 THEN 1600000000000L END AS created")
-    out = profile.library_add(_lib(spark, d), new, NOW)
-    return out.selectExpr(f"regexp_replace(id, '^sig{NOW}[0-9]+$', 'generated') AS id", "name", "created")
+    # Entries without an id come twice: equal entries need ids of their own.
+    out = profile.library_add(_lib(spark, d), new.unionByName(new.where("id IS NULL")), NOW)
+    return out.selectExpr(
+        f"regexp_replace(id, '^sig{NOW}-[0-9a-f]{{32}}-[12]$', 'generated') AS id", "name", "created",
+        "count(*) OVER (PARTITION BY id) AS same_id",
+    )
 
 
 def q_pull(spark, d):
@@ -49,8 +53,10 @@ _KEY = "CASE c_custkey % 3 WHEN 0 THEN 'signatures' WHEN 1 THEN 'stamps' ELSE 's
 
 SQL = {
     "library_delete": f"SELECT * FROM ({_LIB} WHERE c_custkey % 10 <> 0)",
-    "library_add": f"""{_LIB} UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'own' || s_suppkey ELSE 'generated' END, s_name,
-  CASE WHEN s_suppkey % 3 = 1 THEN 1600000000000 ELSE {NOW} END FROM supplier""",
+    "library_add": f"""SELECT *, 1 AS same_id FROM ({_LIB}) UNION ALL
+SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'own' || s_suppkey ELSE 'generated' END, s_name,
+  CASE WHEN s_suppkey % 3 = 1 THEN 1600000000000 ELSE {NOW} END, 1
+FROM supplier, range(2) t(n) WHERE n = 0 OR s_suppkey % 2 = 1""",
     "profile_pull": f"""
 SELECT c_custkey AS owner, {_KEY} AS key,
   CASE WHEN c_custkey % 5 <> 0 AND NOT (c_custkey % 4 <> 0 AND c_nationkey % 2 = 0) THEN c_mktsegment ELSE c_name END AS value,

@@ -20,13 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over the cores when the files offer fewer splits than that.
-
-    Expanding a text or vector into pixels multiplies the work per input byte;
-    a large, well-split table is left alone, so it pays no extra shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, key)
+    """Hash the rows over the cores: expanding a text or vector into pixels multiplies the work per input byte."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def raw_file(spark, sf_dir):

@@ -219,7 +219,7 @@ def allocate_names(incoming: DataFrame, existing: DataFrame, chunk: int = 65536)
 
     The k-th arrival of a stem takes the k-th free suffix, decided by ranks and
     joins. A stem can only take 498 names, so what is ranked per stem is
-    bounded; later arrivals get a time stamp. Stems whose generated names meet
+    bounded; arrivals beyond get a time stamp and, where that repeats, a number. Stems whose generated names meet
     another stem's own name ("a" making "a_2" while "a_2" arrives too) are
     settled from the shorter stem to the longer, at most 498 rows a group.
     """
@@ -228,7 +228,6 @@ def allocate_names(incoming: DataFrame, existing: DataFrame, chunk: int = 65536)
     )
     key = ["stem", "ext"]
     ranked = cut_lineage(ordered_index(safe, key, F.floor(F.col("seq") / chunk), ["seq"], "rank"), "arrivals")
-    late = ranked.where(F.col("rank") > NAME_SUFFIX_LAST)
     first = ranked.where(F.col("rank") <= NAME_SUFFIX_LAST).select("seq", *key, "rank")
     stems = _split_suffix(first.where("rank = 1").selectExpr("stem", "ext", "seq AS first_seq"))
 
@@ -285,11 +284,35 @@ def allocate_names(incoming: DataFrame, existing: DataFrame, chunk: int = 65536)
             )
             level = below.select(F.col("child").alias("stem"), "ext").distinct()
 
-    named = ranked.select("seq", "name", "now_ms", *key).join(settled.select("seq", "suffix"), "seq", "left")
-    return named.select(
-        "seq", "name",
-        F.coalesce(
-            _full(F.col("stem"), F.col("suffix"), F.col("ext")),
-            F.concat("stem", F.lit("_"), F.col("now_ms").cast("string"), "ext"),
-        ).alias("free_name"),
+    placed = cut_lineage(settled.where("suffix IS NOT NULL").select("seq", *key, "suffix"), "settled")
+    late = ranked.select("seq", "now_ms", *key).join(placed.select("seq"), "seq", "left_anti")
+    stamped = _stamped_names(late, placed, existing, chunk)
+    named = ranked.select("seq", "name", *key).join(placed.select("seq", "suffix"), "seq", "left").join(stamped, "seq", "left")
+    return named.select("seq", "name", F.coalesce(_full(F.col("stem"), F.col("suffix"), F.col("ext")), "stamped").alias("free_name"))
+
+
+def _stamped_names(late: DataFrame, settled: DataFrame, existing: DataFrame, chunk: int) -> DataFrame:
+    """Names for arrivals beyond the suffixes: stem and stamp, then stem, stamp and a running number.
+
+    Arrivals of one stem and stamp take the free ones among them in order; what
+    exists or was given out before is not free.
+    """
+    key = ["stem", "ext", "now_ms"]
+    ranked = ordered_index(late, key, F.floor(F.col("seq") / chunk), ["seq"], "rank")
+    taken = existing.select("name").unionByName(
+        settled.select(_full(F.col("stem"), F.col("suffix"), F.col("ext")).alias("name"))
+    ).distinct()
+    parts = taken.select(
+        "name", F.regexp_extract("name", r"^(.*)_(\d+)(?:-\d+)?(\.[^.]*)?$", 1).alias("stem"),
+        F.regexp_extract("name", r"_(\d+)(?:-\d+)?(\.[^.]*)?$", 1).try_cast("long").alias("now_ms"),
+    )
+    walls = parts.groupBy("stem", "now_ms").agg(F.count(F.lit(1)).alias("walls"))
+    wanted = ranked.groupBy(*key).agg(F.max("rank").alias("n")).join(walls, ["stem", "now_ms"], "left")
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.coalesce("walls", F.lit(0))))
+    tail = F.when(F.col("number") > 1, F.concat(F.lit("-"), F.col("number").cast("string"))).otherwise("")
+    names = wanted.select(*key, number.alias("number")).withColumn(
+        "stamped", F.concat("stem", F.lit("_"), F.col("now_ms").cast("string"), tail, "ext")
     )
+    free = names.join(taken.select(F.col("name").alias("stamped")), "stamped", "left_anti")
+    free = ordered_index(free, key, F.floor(F.col("number") / chunk), ["number"], "rank")
+    return ranked.join(free, [*key, "rank"]).select("seq", "stamped")

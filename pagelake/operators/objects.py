@@ -174,8 +174,10 @@ def redact_words(words: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def form_fill(fields: DataFrame, values: DataFrame, flatten: bool = True) -> DataFrame:
-    """Values entered by field name; fields without one keep theirs."""
-    v = values.selectExpr("doc_id", "name", "value AS _new", "true AS _hit")
+    """Values entered by field name; fields without one keep theirs. Of several values for a field the last counts."""
+    order = "order_no" if "order_no" in values.columns else "value"
+    v = values.groupBy("doc_id", "name").agg(F.max(F.struct(F.col(order).alias("_at"), F.col("value").alias("_v"))).alias("_last")).selectExpr(
+        "doc_id", "name", "_last._v AS _new", "true AS _hit")
     return fields.join(v, ["doc_id", "name"], "left").selectExpr(
         "doc_id", "name", "type",
         """CASE WHEN _hit IS NULL THEN value

@@ -33,7 +33,11 @@ def resolve_page_options(
              "_q": F.lit(None).cast("double"), "_n": F.lit(None).cast("int"), "_b": F.lit(None).cast("int")}
         )
     else:
-        known = overrides.join(
+        # One override a page: as in a map, a later entry replaces the one before.
+        order = "order_no" if "order_no" in overrides.columns else "preset"
+        last = F.max(F.struct(F.col(order).alias("_order"), "preset", "bias")).alias("_last")
+        one = overrides.groupBy("doc_id", "page_no").agg(last).select("doc_id", "page_no", "_last.preset", "_last.bias")
+        known = one.join(
             F.broadcast(presets.withColumnRenamed("preset", "_p")), F.col("preset") == F.col("_p")
         ).select(
             "doc_id", "page_no", F.lit(True).alias("_hit"), F.col("color_mode").alias("_c"), F.col("dpi").alias("_d"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def library_delete(lib: DataFrame, ids: DataFrame) -> DataFrame:
@@ -12,10 +12,15 @@ def library_delete(lib: DataFrame, ids: DataFrame) -> DataFrame:
 def library_add(lib: DataFrame, new: DataFrame, now_ms: int, prefix: str = "sig", dated: bool = True) -> DataFrame:
     """Append entries; missing ids are made from the time and the entry, missing dates are now.
 
-    Ids derive from content, so a repeated task makes the same ones.
+    An id is the whole hash of the entry and, for equal entries, their rank: a
+    repeated task makes the same ids and no two entries share one.
     """
-    tag = F.pmod(F.xxhash64(*[c for c in new.columns if c not in ("id", "created")]), F.lit(10_000_000_000)).cast("string")
-    out = new.withColumn("id", F.coalesce(F.col("id"), F.concat(F.lit(f"{prefix}{now_ms}"), tag)))
+    own = [c for c in new.columns if c not in ("id", "created")]
+    digest = F.sha2(F.to_json(F.struct(*own)), 256)
+    rank = F.row_number().over(W.partitionBy("_digest").orderBy(*own))
+    out = new.withColumn("_digest", F.when(F.col("id").isNull(), digest))
+    made = out.where("id IS NULL").withColumn("id", F.concat_ws("-", F.lit(f"{prefix}{now_ms}"), F.substring("_digest", 1, 32), rank))
+    out = out.where("id IS NOT NULL").unionByName(made).drop("_digest")
     if dated:
         out = out.withColumn("created", F.coalesce(F.nullif(F.col("created"), F.lit(0)), F.lit(now_ms).cast("long")))
     return lib.unionByName(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,20 +30,24 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder all executors can see, as named by the cluster.
+    """Folder all executors can see, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary
-    folder is made and recorded in the session.
+    Where that is unset a temporary folder is made and recorded, but only on a
+    local master (tests); elsewhere executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def local_path(path: str) -> str:
-    """Path for file calls on a shared mount that was named as a ``file:`` URI."""
+    """Path for file calls on a shared mount that was named as a ``file:`` URI; other stores are refused."""
+    if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        raise ValueError(f"file writers need a mounted folder, not {path}")
     return path.removeprefix("file://").removeprefix("file:")
 
 

@@ -67,11 +67,11 @@ def raw_drop(files: DataFrame, existing: DataFrame, folder: str) -> tuple[DataFr
 def save_results(results: DataFrame, folder: str) -> None:
     """Successful results as parquet, one folder a month.
 
-    Rows of a month are spread by document, so a busy month is several files.
+    Rows are gathered by month and a busy month is split by size, into as many
+    files as it needs.
     """
     out = results.where("error IS NULL").withColumn("month", F.date_format("finished_at", "yyyy-MM"))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    out.repartition("month", spread).write.mode("append").partitionBy("month").parquet(folder)
+    out.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(folder)
 
 
 def _put_parts(folder: str, run_id: str):

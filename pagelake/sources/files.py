@@ -25,9 +25,33 @@ def _listed(df: DataFrame) -> DataFrame:
     )
 
 
+_FACTS = "name string, bytes long, modified_ms long, path string"
+
+
+def _underscored(spark: SparkSession, folder: str, depth: int, pattern: str = "*") -> DataFrame:
+    """Files that Spark's own listing hides: a name on their way below ``folder`` begins with ``_``.
+
+    Only such names are globbed, level by level; ``.`` names stay hidden.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = {}
+    for level in range(depth + 1):
+        for at in range(level + 1):
+            steps = ["*"] * at + ["_*"] + ["*"] * (level - at)
+            last = "_" + pattern if at == level else pattern
+            for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "/".join([*steps[:-1], last]))) or []:
+                path = f.getPath().toString()
+                if f.isFile() and "/." not in path[len(folder.rstrip("/")):]:
+                    rows[path] = (path.rpartition("/")[2], f.getLen(), f.getModificationTime(), path)
+    return spark.createDataFrame(sorted(rows.values()), _FACTS)
+
+
 def raw_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Accepted files of an intake folder, oldest first."""
-    return raw_catalog_df(_listed(spark.read.format("binaryFile").load(folder)))
+    """Accepted files of an intake folder, oldest first; names may begin with ``_``."""
+    seen = _listed(spark.read.format("binaryFile").load(folder))
+    return raw_catalog_df(seen.unionByName(_underscored(spark, folder, 0)).drop("path"))
 
 
 def import_folder(spark: SparkSession, folder: str, max_depth: int = 2) -> DataFrame:
@@ -35,6 +59,7 @@ def import_folder(spark: SparkSession, folder: str, max_depth: int = 2) -> DataF
     files = _listed(
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
     )
+    files = files.unionByName(_underscored(spark, folder, max_depth, "*.[pP][dD][fF]"))
     below = F.substring_index("path", folder.rstrip("/") + "/", -1)
     return files.withColumn("depth", F.size(F.split(below, "/")) - 1).where(F.col("depth") <= max_depth)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import names as n
@@ -50,20 +50,30 @@ def drain_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, in
 
 
 def debounced_profile(changes: DataFrame, keys: list[str], gap: str = "800 milliseconds", late: str | None = None) -> DataFrame:
-    """Upload points of each owner: after ``gap`` of silence the latest value of every key.
+    """Upload points of each owner: after ``gap`` of silence the stored value of every key.
 
-    Works on tables and streams. On a stream ``late`` (the watermark) is our
-    own rule: how long a straggler may still extend its session.
+    Works on tables and streams. On a stream ``late`` (the watermark) is our own
+    rule: how long a straggler may still extend its session. A stream gives the
+    keys that changed; ``carry_forward`` over its results adds the others, as is
+    done here for a table. Sessions are merged inside each task before they meet.
     """
+    changes.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     if changes.isStreaming:
         changes = changes.withWatermark("ts", late or gap)
     latest = [
         F.expr(f"max_by(CASE WHEN key = '{k}' THEN value END, CASE WHEN key = '{k}' THEN struct(ts, seq) END)").alias(k)
         for k in keys
     ]
-    return changes.groupBy("owner", F.session_window("ts", gap).alias("_w")).agg(
+    flushed = changes.groupBy("owner", F.session_window("ts", gap).alias("_w")).agg(
         F.count(F.lit(1)).alias("n_changes"), *latest
     ).select("owner", F.col("_w.end").alias("flush_at"), "n_changes", *keys)
+    return flushed if changes.isStreaming else carry_forward(flushed, keys)
+
+
+def carry_forward(flushed: DataFrame, keys: list[str]) -> DataFrame:
+    """Upload points with every key's last value up to then; null only before a key's first change."""
+    past = W.partitionBy("owner").orderBy("flush_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return flushed.withColumns({k: F.last(k, ignorenulls=True).over(past) for k in keys})
 
 
 def coalesced_requests(requests: DataFrame, gap: str = "350 milliseconds", late: str | None = None) -> DataFrame:
@@ -92,7 +102,8 @@ def _collect(total: int, first_tries: int, idle_ms: int | None):
         pages, streak, status, seen = state.get if state.exists else (0, 0, "open", 0)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], pages, "abandoned", None)], columns=["batch_id", "n_pages", "status", "failed_page"])
+            if status == "open":
+                yield pd.DataFrame([(key[0], pages, "abandoned", None)], columns=["batch_id", "n_pages", "status", "failed_page"])
             return
         for row in pd.concat(list(chunks)).sort_values(["ts", "event_id"]).itertuples(index=False):
             if status != "open":
@@ -108,7 +119,7 @@ def _collect(total: int, first_tries: int, idle_ms: int | None):
             elif pages == total:
                 status = "finished"
         state.update((pages, streak, status, seen))
-        if idle_ms and status == "open":
+        if idle_ms:  # an ended batch is forgotten as late as an open one is given up
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
         yield pd.DataFrame(
             [(key[0], pages, status, pages + 1 if status == "failed" else None)],

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelake.fixed import T6_END_OF_BLOCK, T6_HORIZONTAL, T6_PASS, T6_VERTICAL
 from pagelake.functions import fax
@@ -137,42 +138,6 @@ def test_pixel_counts_of_diff(spark, stress):
     assert raster.raster_diff(a, lines(spark, other[:-1])).first().n_diff == -1
 
 
-def plain_binarize(g, bias, k, mode, block):
-    """Pixel loop used as an independent expectation."""
-    h, w = g.shape
-    bh, bw = -(-h // block), -(-w // block)
-    mean, dev = np.zeros((bh, bw)), np.zeros((bh, bw))
-    for a in range(bh):
-        for b in range(bw):
-            c = g[a * block:(a + 1) * block, b * block:(b + 1) * block].astype(float)
-            mean[a, b] = c.mean()
-            dev[a, b] = np.sqrt(max(0, (c * c).mean() - c.mean() ** 2))
-    sm, sd = np.zeros_like(mean), np.zeros_like(dev)
-    for a in range(bh):
-        for b in range(bw):
-            sl = np.s_[max(a - 1, 0):a + 2, max(b - 1, 0):b + 2]
-            sm[a, b], sd[a, b] = mean[sl].mean(), dev[sl].max()
-    inv = mode == "invert" or (mode != "ignore" and (sm < 110).mean() <= 0.22)
-    out = np.zeros((h, w), int)
-    for y in range(h):
-        fy = min(bh - 1, max(0, (y - block / 2) / block))
-        for x in range(w):
-            fx = min(bw - 1, max(0, (x - block / 2) / block))
-            y0, x0 = int(fy), int(fx)
-            y1, x1 = min(bh - 1, y0 + 1), min(bw - 1, x0 + 1)
-            wy, wx = fy - y0, fx - x0
-            m = sm[y0, x0] * (1 - wx) * (1 - wy) + sm[y0, x1] * wx * (1 - wy) + sm[y1, x0] * (1 - wx) * wy + sm[y1, x1] * wx * wy
-            s = max(sd[y0, x0], sd[y0, x1], sd[y1, x0], sd[y1, x1])
-            if m >= 110 or not inv:
-                t = min(m - min(80, max(5, 28 + bias - k * 0.35)), 210)
-            elif s < max(3, 11 - k * 0.12):
-                continue
-            else:
-                t = min(max(m + 60 - bias, m + 20), 165)
-            out[y, x] = g[y, x] < t
-    return out
-
-
 def dark_photo():
     rng = np.random.default_rng(3)
     yy, xx = np.mgrid[0:150, 0:112]
@@ -183,11 +148,27 @@ def dark_photo():
     return np.clip(g, 0, 255).astype(int)
 
 
-@pytest.mark.parametrize("mode", ["auto", "invert", "ignore"])
-def test_binarize_matches_pixel_loop(spark, mode):
-    g = dark_photo()
-    got = back(binarize.binarize(lines(spark, g), -4, 10, mode, block=16), "bit")
-    assert (got == plain_binarize(g, -4, 10, mode, 16)).all()
+def test_binarize_by_hand(spark):
+    """Paper of 200 everywhere: the bar is 200 - 28 = 172, and -4 more bias or 10 more contrast move it as told."""
+    g = np.full((16, 16), 200)
+    g[5, 3], g[6, 3], g[7, 3] = 120, 160, 180
+    black = lambda **o: set(map(tuple, np.argwhere(back(binarize.binarize(lines(spark, g), dark_areas="ignore", block=16, **o), "bit"))))
+    # The block's mean is a little under the paper: (253 * 200 + 460) / 256 = 199.45.
+    assert black() == {(5, 3), (6, 3)}
+    assert black(bias=20) == {(5, 3)}  # 199.45 - 48 = 151.45
+    assert black(bias=-16) == {(5, 3), (6, 3), (7, 3)}  # 199.45 - 12 = 187.45
+    assert black(contrast=40) == {(5, 3), (6, 3), (7, 3)}  # 199.45 - 14 = 185.45
+
+
+def test_binarize_does_not_see_a_shift_of_blocks(spark):
+    """An even page has no black whatever its tone; doubling the page sideways doubles the result away from the seam."""
+    for tone in (40, 120, 250):
+        assert back(binarize.binarize(lines(spark, np.full((24, 24), tone)), dark_areas="ignore", block=8), "bit").sum() == 0
+    g = np.full((24, 24), 230)
+    g[::5, 6:18] = 40
+    once = back(binarize.binarize(lines(spark, g), dark_areas="ignore", block=8), "bit")
+    twice = back(binarize.binarize(lines(spark, np.hstack([g, g])), dark_areas="ignore", block=8), "bit")
+    assert (twice[:, :12] == once[:, :12]).all() and (twice[:, 36:] == once[:, 12:]).all()
 
 
 def test_dark_photo_border(spark):
@@ -269,25 +250,35 @@ def test_document_corners(spark):
 
 
 def test_largest_component(spark):
-    rng = np.random.default_rng(2)
-    mask = (rng.random((40, 50)) < 0.55).astype(int)
-    label, best, area = np.zeros_like(mask), 0, 0
-    for y in range(40):
-        for x in range(50):
-            if mask[y, x] and not label[y, x]:
-                n, stack, size = label.max() + 1, [(y, x)], 0
-                label[y, x] = n
-                while stack:
-                    a, b = stack.pop()
-                    size += 1
-                    for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-                        if 0 <= c < 40 and 0 <= d < 50 and mask[c, d] and not label[c, d]:
-                            label[c, d] = n
-                            stack.append((c, d))
-                if size > area:
-                    best, area = n, size
+    """Sets of touching pixels by union of neighbours, then the largest set."""
+    mask = (np.random.default_rng(2).random((40, 50)) < 0.55).astype(int)
+    owner = {(int(y), int(x)): (int(y), int(x)) for y, x in np.argwhere(mask)}
+
+    def root(p):
+        while owner[p] != p:
+            p = owner[p]
+        return p
+
+    for y, x in list(owner):
+        for other in ((y, x + 1), (y + 1, x)):
+            if other in owner:
+                owner[root(other)] = root((y, x))
+    groups = {}
+    for p in owner:
+        groups.setdefault(root(p), set()).add(p)
+    best = max(groups.values(), key=len)
     out = detect.largest_component(lines(spark, mask).withColumnRenamed("px", "mask"))
-    assert (back(out, "comp") == (label == best)).all() and out.first().area == area
+    assert set(map(tuple, np.argwhere(back(out, "comp")).tolist())) == best and out.first().area == len(best)
+
+
+def test_map_of_a_trapezium_by_hand(spark):
+    """Corners (0, 0), (4, 0), (3, 2), (1, 2) of a 5 x 3 page: the centre of the unit square goes to the diagonals' meeting."""
+    quad = [(0.0, 0.0), (1.0, 0.0), (0.75, 1.0), (0.25, 1.0)]
+    df = spark.createDataFrame([(5, 3, quad)], "src_w int, src_h int, quad array<struct<x: double, y: double>>")
+    c = detect.quad_coefficients(df).first()
+    at = lambda u, v: tuple((c[f"c{a}"] * u + c[f"c{b}"] * v + c[f"c{k}"]) / (c.cg * u + c.ch * v + 1) for a, b, k in ("abc", "def"))
+    for (u, v), want in {(0, 0): (0, 0), (1, 0): (4, 0), (1, 1): (3, 2), (0, 1): (1, 2), (0.5, 0.5): (2, 4 / 3)}.items():
+        assert at(u, v) == pytest.approx(want)
 
 
 def test_warp_is_identity_on_the_full_page(spark):
@@ -313,26 +304,21 @@ def test_erase_stroke(spark):
 
 # -------------------------------------------------------------------- intake
 
-def sequential_names(arrivals, existing, now):
-    taken, out = set(existing), []
-    for k, name in enumerate(arrivals):
-        stem, ext = os.path.splitext(name)
-        free = next((c for c in [name] + [f"{stem}_{i}{ext}" for i in range(2, 499)] if c not in taken), f"{stem}_{now + k}{ext}")
-        taken.add(free)
-        out.append(free)
-    return out
-
-
 @pytest.mark.parametrize("seed", [1, 2])
-def test_free_names_like_one_by_one(spark, seed):
+def test_free_names_one_by_one(spark, seed):
+    """Giving names to the arrivals one at a time, each time as the only arrival, comes to the same."""
     rng = random.Random(seed)
     pool = ["a.pdf", "a_2.pdf", "a_3.pdf", "a_2_2.pdf", "b.pdf", "b_2.jpg", "c_2.pdf", "a_2_3.pdf", "a_999.pdf"]
-    arrivals = [rng.choice(pool) for _ in range(60)]
+    arrivals = [rng.choice(pool) for _ in range(7)]
     existing = rng.sample(["a.pdf", "a_4.pdf", "b_2.pdf", "a_2_2.pdf", "c_2_2.pdf"], 3)
-    inc = spark.createDataFrame([(k, n, 10_000 + k) for k, n in enumerate(arrivals)], "seq long, name string, now_ms long")
-    have = spark.createDataFrame([(n,) for n in existing], "name string")
-    got = [r.free_name for r in intake.allocate_names(inc, have, chunk=16).orderBy("seq").collect()]
-    assert got == sequential_names(arrivals, existing, 10_000)
+    schema = "seq long, name string, now_ms long"
+    rows = [(k, n, 10_000 + k) for k, n in enumerate(arrivals)]
+    names = lambda rows, have: [r.free_name for r in intake.allocate_names(
+        spark.createDataFrame(rows, schema), spark.createDataFrame([(n,) for n in have], "name string"), chunk=4).orderBy("seq").collect()]
+    together, one_by_one = names(rows, existing), []
+    for row in rows:
+        one_by_one += names([row], existing + one_by_one)
+    assert together == one_by_one and len({*together, *existing}) == len(together) + len(existing)
 
 
 def test_names_run_out(spark):
@@ -341,6 +327,13 @@ def test_names_run_out(spark):
     assert got[497] == "x_498.pdf" and got[498] == "x_9498.pdf"
 
 
+def test_names_with_one_stamp_stay_apart(spark):
+    inc = spark.range(600).selectExpr("id AS seq", "'a.pdf' AS name", "77L AS now_ms")
+    have = ["a_77.pdf", "a_77-3.pdf", "a_9.pdf"]
+    got = [r.free_name for r in intake.allocate_names(inc, spark.createDataFrame([(n,) for n in have], "name string"), chunk=50).orderBy("seq").collect()]
+    assert len(set(got)) == 600 and not set(got) & set(have) and got[496] == "a_77-2.pdf" and got[497] == "a_77-4.pdf"
+
+
 def test_clean_names(spark):
     df = spark.createDataFrame([("../../etc/passwd.pdf", 5), ("ohne-endung", 5), ("Rechnung Stadtwerke.pdf", 5), ("", 5), ("Übung/ä?.PDF", 5)],
                                "name string, now_ms long")
@@ -494,10 +487,13 @@ def test_debounce_stream_equals_batch(spark):
     keys = ["signatures", "stamps", "settings"]
     want = jobs.debounced_profile(df, keys).where("owner = 1").collect()
     assert [r.n_changes for r in sorted(want)] == [3, 3, 1, 1]
+    # The third upload changes signatures alone and still carries the settings; stamps were never set.
+    assert [(r.signatures, r.stamps, r.settings) for r in sorted(want)][2] == (6.0, None, 5.0)
     folder = scratch_path(spark, "changes")
-    df.coalesce(1).write.parquet(folder)
+    for part in (df.where("seq < 3 OR seq = 5"), df.where("seq IN (3, 4)"), df.where("seq > 5")):  # three files, late rows
+        part.coalesce(1).write.mode("append").parquet(folder)
     stream = jobs.debounced_profile(spark.readStream.schema(schema).parquet(folder), keys, late="1 second")
-    got = jobs.drain(stream, "debounce").where("owner = 1").collect()
+    got = jobs.carry_forward(jobs.drain(stream, "debounce"), keys).where("owner = 1").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
 
 
@@ -528,3 +524,47 @@ def test_chains(spark):
     merged, lineage = chains.take_over(files, sel, spark.createDataFrame([(10, 1), (10, 2)], "doc_id long, page_no int"), 5)
     assert [(r.pos, r.doc_id) for r in merged.orderBy("pos").collect()] == [(1, 11), (2, 10), (3, 10)]
     assert [r.name for r in lineage.orderBy("order_no").collect()] == ["a.png", "b.pdf"]
+
+
+# ---------------------------------------------------------------- silent losses
+
+def test_null_keys_are_numbered_too(spark):
+    from pagelake import keys
+
+    df = spark.createDataFrame([(1, 1), (None, 2), (None, 3), (1, None)], "k long, t long")
+    got = keys.ordered_index(df, ["k"], F.floor(F.col("t") / 2), ["t"]).collect()
+    assert sorted(((r.k or 0), r.t or 0, r.idx) for r in got) == [(0, 2, 1), (0, 3, 2), (1, 0, 1), (1, 1, 2)]
+    total = keys.running_total(df, ["k"], F.floor(F.col("t") / 2), ["t"], "t", "before").collect()
+    assert len(total) == 4 and {r.before for r in total if r.k is None} == {0, 2}
+    beside = keys.with_neighbour(keys.ordered_index(df, ["k"], F.lit(0), ["t"]), ["k"], "idx", -1, ["t"], "_prev").collect()
+    assert {r.t_prev for r in beside if r.k is None} == {None, 2}
+
+
+def test_underscored_files_are_listed(spark, tmp_path):
+    for name in ("a.pdf", "_5.pdf", ".hidden.pdf", "_x.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "_deep" / "b").mkdir(parents=True)
+    (tmp_path / "_deep" / "b" / "c.PDF").write_bytes(b"x")
+    assert {r.name for r in sources.raw_catalog(spark, str(tmp_path)).collect()} == {"a.pdf", "_5.pdf"}
+    found = {(r.name, r.depth) for r in sources.import_folder(spark, str(tmp_path)).collect()}
+    assert found == {("a.pdf", 0), ("_5.pdf", 0), ("c.PDF", 2)}
+
+
+def test_last_value_of_a_field_or_page_counts(spark):
+    from pagelake.operators import objects, options
+
+    fields = spark.createDataFrame([(1, "f", "text", None)], "doc_id long, name string, type string, value string")
+    values = spark.createDataFrame([(1, "f", "z", 1), (1, "f", "b", 2)], "doc_id long, name string, value string, order_no int")
+    assert [r.value for r in objects.form_fill(fields, values).collect()] == ["b"]
+    pages = spark.createDataFrame([(1, 1)], "doc_id long, page_no int")
+    over = spark.createDataFrame([(1, 1, "stark", 0, 1), (1, 1, "extrem-sw", 4, 2)], "doc_id long, page_no int, preset string, bias int, order_no int")
+    (row,) = options.resolve_page_options(pages, over, options.preset_table(spark), {"mode": "raster", "color_mode": "color", "dpi": 150}).collect()
+    assert (row.color_mode, row.bias) == ("bw", 4)
+
+
+def test_other_stores_are_refused():
+    from pagelake.session import local_path
+
+    assert local_path("file:///a/b") == "/a/b" and local_path("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        local_path("s3a://bucket/x")
