@@ -24,6 +24,7 @@ hash. An empty table gives files without rows.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from zlib import crc32
 
@@ -37,7 +38,9 @@ from .words import list_column, map_batches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 20_000
-#: Stretches a worker remembers before it starts afresh.
+# ASCII marks, without the apostrophe.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stretches a worker remembers in one generation; it keeps the one before, too.
 REMEMBERED = 400_000
 
 
@@ -48,20 +51,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies spell a byte as one letter: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class _Stretches(dict):
-    """Ids of a stretch as bytes, or None if it touches other white space; encoded on first sight."""
+    """Ids of a stretch as bytes, or None if it touches other white space; encoded on first sight.
+
+    Words of Latin letters are one piece for the splitter and go to the vocabulary's
+    model at once. Marks after a letter or digit are a piece of their own, and so is
+    a single line end between two others, so that such parts are looked up apart.
+    """
 
-    def __init__(self, encode, space: str):
+    def __init__(self, encoder: "Encoder", space: str):
         super().__init__()
-        self.encode, self.space = encode, space
+        self.encoder, self.space, self.before = encoder, space, {}
 
     def __missing__(self, part: str) -> bytes | None:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED:  # what is asked for again comes back from the generation before
+            self.before = dict(self)
             self.clear()
-        touches = part[-1:].isspace() or (self.space and (not part or part[0].isspace()))
-        self[part] = ids = None if touches else self.encode(self.space + part)
+        ids = self.before.get(part)
+        if ids is None:
+            word = part[:-1]
+            if part.isalpha():
+                ids = self.encoder.word(self.space, part)
+            elif word.isalpha() and part[-1] in MARKS:
+                ids = self[word] + self.encoder.marks[part[-1]]
+            else:
+                ids = self.found(part)
+        self[part] = ids
         return ids
 
+    def found(self, part: str) -> bytes | None:
+        if part[-1:].isspace() or (self.space and (not part or part[0].isspace())):
+            return None
+        if any(t in part for t in self.encoder.special):
+            return self.encoder.whole(self.space + part)
+        cut = len(part.rstrip(MARKS))
+        if 0 < cut < len(part) and part[cut - 1].isalnum():
+            return _joined(self[part[:cut]], self.encoder.first[part[cut:]])
+        head, line_end, rest = part.partition("\n")
+        if line_end and head and not head[-1].isspace() and not rest[0].isspace():
+            return _joined(self[head], self.encoder.line_end, self.encoder.first[rest])
+        return self.encoder.whole(self.space + part)
+
+
+def _joined(*parts: bytes | None) -> bytes | None:
+    return None if None in parts else b"".join(parts)
+
 
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers."""
@@ -70,15 +111,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.rest = _Stretches(self.whole, ""), _Stretches(self.whole, " ")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end, self.marks = self.whole("\n"), {m: self.whole(m) for m in MARKS}
+        self.first, self.rest = _Stretches(self, ""), _Stretches(self, " ")
 
     def whole(self, text: str) -> bytes:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found.ids, "<u4").tobytes()
+        return array("I", found.ids).tobytes()
+
+    def word(self, space: str, letters: str) -> bytes:
+        """A word of letters; ASCII letters spell themselves."""
+        if letters.isascii():
+            spelt = self.letters[32] + letters if space else letters
+        elif max(letters) < "\u0250":
+            spelt = (space + letters).encode().decode("latin-1").translate(self.letters)
+        else:
+            return self.whole(space + letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         head, *tail = text.split(" ")
-        parts = [self.first[head], *map(self.rest.__getitem__, tail)]
+        parts = list(map(self.rest.get, tail))
+        if None in parts:  # get() is several times faster than a lookup that may encode
+            parts = [self.rest[t] if p is None else p for p, t in zip(parts, tail)]
+        parts.insert(0, self.first[head])
         return self.whole(text) if None in parts else b"".join(parts)
 
 
