@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs as i
 from ..operators import assemble, attempts
+from ..plans import chains
 from ..session import local_path, scratch_path
 from ..sinks import files as sinks
 from ..sources import files as sources
@@ -206,7 +207,26 @@ def q_assemble(spark, d):
                                        F.max(F.col("offset") + F.length("content")).alias("end"))
 
 
+def q_compress(spark, d):
+    """Texts as pages of documents of four: black-and-white, palette, or a picture stream that some pages lack."""
+    at = ["doc_id div 4 AS doc_id", "CAST(doc_id % 4 + 1 AS INT) AS page_no"]
+    docs = i.table(spark, d, "documents").select("doc_id", "text")
+    rgb = i.as_rgb(i.text_lines(spark, d)).selectExpr(*at, "y", "r", "g", "b")
+    own = docs.where("doc_id % 3 < 2").selectExpr(
+        *at, "CASE doc_id % 3 WHEN 0 THEN 'extrem-sw' ELSE 'extrem-farbe' END AS preset", "CAST(doc_id % 41 AS INT) - 20 AS bias")
+    pictures = docs.where("doc_id % 3 = 2 AND doc_id % 5 <> 0").selectExpr(*at, "64 AS w_px", "64 AS h_px", "CAST(text AS BINARY) AS stream")
+    parts, left = chains.compress(
+        docs.selectExpr(*at, "595.28D AS w_pt", "841.89D AS h_pt"), rgb, own, {"mode": "raster", "color_mode": "color", "dpi": 150}, pictures)
+    made = parts.groupBy("doc_id").agg(
+        F.sum(F.expr("CAST(part = 'page' AS INT)")).alias("n_pages"),
+        (F.sum(F.length("content")) == F.max(F.col("offset") + F.length("content"))).alias("gapless"))
+    missed = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_left"))
+    return made.join(missed, "doc_id", "full_outer").selectExpr(
+        "doc_id", "coalesce(n_pages, 0L) AS n_pages", "coalesce(n_left, 0L) AS n_left", "gapless")
+
+
 QUERIES = {
+    "compress_documents": q_compress,
     "batch_outcome": q_outcome, "batch_outcome_folder": q_outcome_folder, "batch_summary": q_summary, "retry_policy": q_retry,
     "debounced_profile": q_debounce, "coalesced_requests": q_requests, "collapse_pending": q_pending,
     "intake_stream": q_intake_stream, "scan_batch_collector": q_collector, "newest_frames": q_frames,
@@ -245,6 +265,11 @@ SELECT name, bytes FROM (SELECT name, bytes, row_number() OVER (PARTITION BY nam
 _EXPORT = """SELECT c_custkey // 5 AS owner, count(*) FILTER (c_custkey % 5 < 2) AS n FROM customer GROUP BY 1"""
 
 SQL = {
+    "compress_documents": """
+SELECT doc_id, n_pages, n_left, CASE WHEN n_pages > 0 THEN true END AS gapless FROM (
+  SELECT doc_id // 4 AS doc_id, count(*) FILTER (kept) AS n_pages, count(*) FILTER (NOT kept) AS n_left
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN text IS NOT NULL ELSE doc_id % 5 <> 0 AND coalesce(length(text), 0) > 0 END AS kept FROM documents)
+  GROUP BY 1)""",
     "batch_outcome": sql(_OUT, "scan_attempt", marks=_STOP, ends=_ends(_FIRST)),
     "batch_outcome_folder": sql(_OUT, "scan_attempt", marks=_STOP, ends=_ends("false")),
     "batch_summary": sql(_SUM, "scan_attempt", marks=_STOP, ends=_ends(_FIRST)),

@@ -40,7 +40,7 @@ def page(spark, sf_dir):
         "l_quantity", "l_shipdate",
     )
     numbered = ordered_index(
-        items, ["doc_id"], F.col("l_linenumber"),
+        items, ["doc_id"], F.floor(F.col("l_linenumber") / 1024),
         ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"],
         "page_no",
     )

@@ -84,12 +84,13 @@ def _xref(offset: str) -> str:
 def assemble_documents(encoded: DataFrame, chunk: int = FAN_OUT) -> DataFrame:
     """Parts of one image-only document per doc_id: (doc_id, part, offset, content).
 
-    ``encoded``: pages 1..n of each document with w_pt, h_pt, w_px, h_px,
+    ``encoded``: pages 1..n of each document, without gaps, with w_pt, h_pt, w_px, h_px,
     codec, stream, palette. Page i owns objects 3i..3i+2; a two-level page tree
     keeps every tree node small; index entries have a fixed size, so each page
     also knows where its own entries go.
     """
-    kind = """CASE codec WHEN 'indexed' THEN concat('/ColorSpace [/Indexed /DeviceRGB ', length(palette) div 6 - 1, ' <', palette, '>] /BitsPerComponent 4 /Filter /FlateDecode')
+    kind = """CASE codec WHEN 'jpeg' THEN '/ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode'
+        WHEN 'indexed' THEN concat('/ColorSpace [/Indexed /DeviceRGB ', length(palette) div 6 - 1, ' <', palette, '>] /BitsPerComponent 4 /Filter /FlateDecode')
         WHEN 'g4' THEN concat('/ColorSpace /DeviceGray /BitsPerComponent 1 /Filter /CCITTFaxDecode /DecodeParms << /K -1 /Columns ', w_px, ' /Rows ', h_px, ' /BlackIs1 false >>')
         ELSE '/ColorSpace /DeviceGray /BitsPerComponent 1 /Filter /FlateDecode' END"""
     draw = "concat('q ', w_pt, ' 0 0 ', h_pt, ' 0 0 cm /Im0 Do Q')"

@@ -135,23 +135,22 @@ def background_at(lines: DataFrame, blocks: DataFrame, block: int = BLOCK, mode:
 
 
 def binarize(
-    lines: DataFrame, bias: int = 0, contrast: int = 0, dark_areas: str = "auto", block: int = BLOCK
+    lines: DataFrame, bias: int | str = 0, contrast: int = 0, dark_areas: str = "auto", block: int = BLOCK
 ) -> DataFrame:
-    """Black-and-white scanlines (1 = black).
+    """Black-and-white scanlines (1 = black); ``bias`` may name a column, for pages with their own.
 
     Statistics, smoothing and the page decision are Catalyst plans; the last
     step per pixel is array arithmetic on whole lines in Arrow batches.
     """
     k = max(-50, min(50, int(contrast)))
-    b = int(bias)
-    gap = min(80.0, max(5.0, 28 + b - k * 0.35))
     flat = max(3.0, 11 - k * 0.12)
 
     @pandas_udf("array<int>")
-    def ink(px: pd.Series, inv: pd.Series, a: pd.Series, ad: pd.Series, c: pd.Series, cd: pd.Series, wy: pd.Series) -> pd.Series:
+    def ink(px: pd.Series, own: pd.Series, inv: pd.Series, a: pd.Series, ad: pd.Series, c: pd.Series, cd: pd.Series, wy: pd.Series) -> pd.Series:
         out = []
-        for line, invert, *grid in zip(px, inv, a, ad, c, cd, wy):
+        for line, b, invert, *grid in zip(px, own, inv, a, ad, c, cd, wy):
             m, dev = _local_field(line, *grid, block)
+            gap = min(80.0, max(5.0, 28 + b - k * 0.35))
             paper = np.minimum(m - gap, 210)
             if invert:
                 bar = np.where(dev < flat, -1.0, np.minimum(np.maximum(m + 60 - b, m + 20), 165))
@@ -160,4 +159,5 @@ def binarize(
         return pd.Series(out)
 
     grid = _on_grid(lines, block_stats(lines, block), block, dark_areas)
-    return grid.select(*PAGE, "y", ink("px", "invert_dark", *_GRID).alias("bit"))
+    own = F.col(bias) if isinstance(bias, str) else F.lit(int(bias))
+    return grid.select(*PAGE, "y", ink("px", own, "invert_dark", *_GRID).alias("bit"))

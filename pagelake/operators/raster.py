@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 PAGE = ["doc_id", "page_no"]
 
 
-def luminance(lines: DataFrame) -> DataFrame:
-    """RGB scanlines to grey scanlines."""
+def luminance(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """RGB scanlines to grey scanlines; ``keep`` names further columns to carry along."""
     return lines.selectExpr(
-        *PAGE, "y",
+        *PAGE, *keep, "y",
         "transform(arrays_zip(r, g, b), c -> shiftright(77 * c.r + 151 * c.g + 28 * c.b, 8)) AS px",
     )
 
@@ -95,9 +95,9 @@ def median_profiles(lines: DataFrame) -> DataFrame:
     return rows.unionByName(cols)
 
 
-def white_mask(lines: DataFrame, bias: int = 0) -> DataFrame:
-    """Per pixel 1 where the RGB value counts as paper white."""
-    limit = max(160, min(250, 225 - int(bias)))
+def white_mask(lines: DataFrame, bias: int | str = 0) -> DataFrame:
+    """Per pixel 1 where the RGB value counts as paper white; ``bias`` may name a column."""
+    limit = f"greatest(160, least(250, 225 - {bias if isinstance(bias, str) else int(bias)}))"
     return lines.selectExpr(
         *PAGE, "y", "r", "g", "b",
         f"""transform(arrays_zip(r, g, b), c -> CASE WHEN shiftright(77 * c.r + 151 * c.g + 28 * c.b, 8) >= {limit}

@@ -7,31 +7,47 @@ from pyspark.sql import DataFrame, functions as F
 from ..keys import ordered_index
 from ..operators import assemble, binarize, detect, intake, layout, options, palette, raster
 from ..operators.raster import PAGE
+from ..session import cut_lineage
 
 
 def compress(
-    pages: DataFrame, lines: DataFrame, overrides: DataFrame, settings: dict
-) -> DataFrame:
-    """Document parts for the black-and-white and palette pages of ``pages``.
+    pages: DataFrame, lines: DataFrame, overrides: DataFrame, settings: dict, streams: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(document parts, pages left out with a reason).
 
-    Options and target sizes are settled per page first; each colour branch then
-    reads only its own scanlines. Grey and colour pages need an image coder and
-    are left to the caller.
+    Every page is encoded under its own options. Black-and-white and palette pages
+    are made from their scanlines, with the page's bias and number of colours. Grey,
+    colour and lossless pages take their already encoded picture from ``streams``
+    (doc_id, page_no, w_px, h_px, stream); there is no picture coder here. A page
+    without scanlines or picture is reported. Pages of a document are numbered
+    anew in order, so what is left out leaves no gap.
     """
     presets = options.preset_table(pages.sparkSession)
-    sized = layout.target_size(options.resolve_page_options(pages, overrides, presets, settings))
+    sized = cut_lineage(layout.target_size(options.resolve_page_options(pages, overrides, presets, settings)), "sized")
+    drawn = F.coalesce(F.col("color_mode").isin("bw", "indexed") & (F.col("mode") != "lossless"), F.lit(False))
+    own = sized.where(drawn).select(*PAGE, "color_mode", F.coalesce("bias", F.lit(0)).alias("bias"),
+                                    F.coalesce("colors", F.lit(16)).alias("colours"))
 
     def branch(mode: str) -> DataFrame:
-        return lines.join(sized.where(F.col("color_mode") == mode).select(*PAGE), PAGE, "left_semi")
+        return lines.join(own.where(F.col("color_mode") == mode).select(*PAGE, "bias"), PAGE)
 
     bits = binarize.binarize(
-        raster.luminance(branch("bw")), settings.get("bias") or 0, settings.get("contrast") or 0,
-        settings.get("dark_areas") or "auto",
+        raster.luminance(branch("bw"), ("bias",)), "bias", settings.get("contrast") or 0, settings.get("dark_areas") or "auto"
     )
-    indexed, pal = palette.quantize_indexed(branch("indexed"), settings.get("colors") or 16, settings.get("bias") or 0)
+    indexed, pal = palette.quantize_indexed(branch("indexed"), own.select(*PAGE, "colours"), "bias")
     encoded = assemble.encode_bilevel(bits).unionByName(assemble.encode_indexed(indexed, pal))
+    if streams is not None:
+        given = streams.where("length(stream) > 0").join(sized.where(~drawn).select(*PAGE), PAGE, "left_semi")
+        encoded = encoded.unionByName(given.select(
+            *PAGE, "w_px", "h_px", F.lit("jpeg").alias("codec"), "stream", F.lit(None).cast("string").alias("palette")))
+    encoded = cut_lineage(encoded, "encoded")
     boxes = sized.selectExpr(*PAGE, "out_w_pt AS w_pt", "out_h_pt AS h_pt")
-    return assemble.assemble_documents(encoded.join(boxes, PAGE))
+    placed = ordered_index(
+        encoded.join(boxes, PAGE), ["doc_id"], F.floor(F.col("page_no") / 1024), ["page_no"], "_place"
+    ).drop("page_no").withColumn("page_no", F.col("_place").cast("int")).drop("_place")
+    reason = F.when(drawn, "no scanlines").otherwise("no picture stream")
+    left_out = sized.withColumn("reason", reason).join(encoded.select(*PAGE), PAGE, "left_anti").select(*PAGE, "reason")
+    return assemble.assemble_documents(placed), left_out
 
 
 def take_over(files: DataFrame, selected: DataFrame, pages: DataFrame, merged_id: int) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +57,7 @@ def take_over(files: DataFrame, selected: DataFrame, pages: DataFrame, merged_id
     """
     chosen = intake.apply_selection(intake.raw_catalog_df(files), selected)
     ranked = ordered_index(
-        chosen.withColumn("merged_id", F.lit(merged_id)), ["merged_id"], F.col("modified_ms"), ["modified_ms", "name"], "order_no"
+        chosen.withColumn("merged_id", F.lit(merged_id)), ["merged_id"], F.floor(F.col("modified_ms") / 86_400_000), ["modified_ms", "name"], "order_no"
     )
     merged, _ = intake.merge_documents(ranked.select("merged_id", "order_no", "doc_id", "kind", "readable"), pages)
     return merged, ranked.select("merged_id", "order_no", "name")

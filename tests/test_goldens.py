@@ -506,9 +506,22 @@ def test_chains(spark):
     rgb = lines(spark, g).selectExpr("doc_id", "explode(array(1, 2)) AS page_no", "y", "px AS r", "px AS g", "px AS b")
     pages = spark.createDataFrame([(1, 1, 112.0, 150.0), (1, 2, 112.0, 150.0)], "doc_id long, page_no int, w_pt double, h_pt double")
     ov = spark.createDataFrame([(1, 1, "extrem-sw", 0), (1, 2, "extrem-farbe", 0)], "doc_id long, page_no int, preset string, bias int")
-    parts = chains.compress(pages, rgb, ov, {"mode": "raster", "color_mode": "color", "dpi": 150})
+    # Page 3 has neither override nor picture, page 4 a picture, page 5 an override but no scanlines.
+    pages = pages.unionByName(spark.createDataFrame([(1, k, 112.0, 150.0) for k in (3, 4, 5)], pages.schema))
+    ov = ov.unionByName(spark.createDataFrame([(1, 5, "extrem-sw", 0)], ov.schema))
+    pictures = spark.createDataFrame([(1, 4, 8, 8, bytearray(b"picture")), (1, 1, 8, 8, bytearray(b"unused"))],
+                                     "doc_id long, page_no int, w_px int, h_px int, stream binary")
+    parts, left_out = chains.compress(pages, rgb, ov, {"mode": "raster", "color_mode": "color", "dpi": 150}, pictures)
+    assert sorted((r.page_no, r.reason) for r in left_out.collect()) == [(3, "no picture stream"), (5, "no scanlines")]
     data = b"".join(bytes(r.content) for r in parts.orderBy("offset").collect())
-    assert data.startswith(b"%PDF-1.5") and data.endswith(b"%%EOF\n") and b"/Indexed" in data
+    assert data.startswith(b"%PDF-1.5") and data.endswith(b"%%EOF\n") and b"/Indexed" in data and data.count(b"/DCTDecode") == 1
+    at = int(data[data.rindex(b"startxref") + 9 :].split()[0])
+    head, count = data[at:].split(b"\n", 2)[:2]
+    assert head == b"xref" and data.count(b"/Type /Page ") == 3 and b"unused" not in data
+    table = data[at + len(head) + len(count) + 2 :]
+    for k in range(1, int(count.split()[1])):
+        place = int(table[20 * k : 20 * k + 10])
+        assert data[place:].startswith(b"%d 0 obj" % k)
 
     scans = spark.createDataFrame([(1, 1, 200, 240, None, "left", "top")],
                                   "doc_id long, page_no int, px_w int, px_h int, scan_dpi int, origin_x string, origin_y string")
