@@ -133,25 +133,30 @@ def page_qa(lines: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     )
 
 
+def planes(lines: DataFrame) -> list[str]:
+    """The pixel columns that scanlines have: px, or r, g and b."""
+    return [c for c in ("px", "r", "g", "b") if c in lines.columns]
+
+
 def burn_rects(lines: DataFrame, rects: DataFrame) -> DataFrame:
-    """Opaque boxes (x, y, w, h, color, z; whole pixels) painted in z order.
+    """Opaque boxes (x, y, w, h, z; whole pixels) painted in z order, on grey or RGB scanlines.
 
+    A box has ``color``, the same in every plane, or r, g and b of its own.
     A box is spread over the lines it covers, so line and box meet on an exact
     (page, line) key instead of a range comparison inside a page.
     """
+    values = ", ".join(f"'v_{c}', {c if c in rects.columns else 'color'}" for c in planes(lines))
     spans = rects.where("h > 0 AND w > 0").selectExpr(
         *PAGE, "explode(sequence(CAST(y AS INT), CAST(y + h - 1 AS INT))) AS y",
-        "named_struct('z', z, 'x0', CAST(x AS INT), 'x1', CAST(x + w AS INT), 'v', color) AS s",
+        f"named_struct('z', z, 'x0', CAST(x AS INT), 'x1', CAST(x + w AS INT), {values}) AS s",
     ).groupBy(*PAGE, "y").agg(F.sort_array(F.collect_list("s")).alias("spans"))
-    painted = """aggregate(spans, px, (acc, s) ->
-        transform(acc, (v, i) -> CASE WHEN i >= s.x0 AND i < s.x1 THEN s.v ELSE v END))"""
-    return lines.join(spans, [*PAGE, "y"], "left").withColumn(
-        "px", F.expr(f"CASE WHEN spans IS NULL THEN px ELSE {painted} END")
-    ).drop("spans")
+    painted = {c: F.expr(f"""CASE WHEN spans IS NULL THEN {c} ELSE aggregate(spans, {c}, (acc, s) ->
+        transform(acc, (v, i) -> CASE WHEN i >= s.x0 AND i < s.x1 THEN s.v_{c} ELSE v END)) END""") for c in planes(lines)}
+    return lines.join(spans, [*PAGE, "y"], "left").withColumns(painted).drop("spans")
 
 
 def burn_erase(lines: DataFrame, strokes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """White strokes with round ends painted over the page.
+    """White strokes with round ends painted over the page, on grey or RGB scanlines.
 
     ``strokes``: size and points normalised to the page; ``sizes``: w, h in
     pixels. A pixel is painted when its centre lies within half the stroke
@@ -173,10 +178,9 @@ def burn_erase(lines: DataFrame, strokes: DataFrame, sizes: DataFrame) -> DataFr
     t = """CASE WHEN s.dx = 0 AND s.dy = 0 THEN 0D ELSE greatest(0D, least(1D,
          ((i + 0.5 - s.ax) * s.dx + (y + 0.5 - s.ay) * s.dy) / (s.dx * s.dx + s.dy * s.dy))) END"""
     near = f"""pow(i + 0.5 - s.ax - ({t}) * s.dx, 2) + pow(y + 0.5 - s.ay - ({t}) * s.dy, 2) <= s.rad * s.rad"""
-    return lines.join(hit, [*PAGE, "y"], "left").withColumn(
-        "px",
-        F.expr(f"CASE WHEN segs IS NULL THEN px ELSE transform(px, (v, i) -> CASE WHEN exists(segs, s -> {near}) THEN 255 ELSE v END) END"),
-    ).drop("segs")
+    white = {c: F.expr(f"""CASE WHEN segs IS NULL THEN {c} ELSE
+        transform({c}, (v, i) -> CASE WHEN exists(segs, s -> {near}) THEN 255 ELSE v END) END""") for c in planes(lines)}
+    return lines.join(hit, [*PAGE, "y"], "left").withColumns(white).drop("segs")
 
 
 def raster_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -271,6 +271,27 @@ def test_largest_component(spark):
     assert set(map(tuple, np.argwhere(back(out, "comp")).tolist())) == best and out.first().area == len(best)
 
 
+def test_colour_planes_are_treated_alike(spark):
+    """RGB scanlines come out as three grey pages would."""
+    rng = np.random.default_rng(4)
+    rgb = {c: rng.integers(0, 256, (20, 16)) for c in "rgb"}
+    df = spark.createDataFrame([(1, 1, y, *[[int(v) for v in rgb[c][y]] for c in "rgb"]) for y in range(20)],
+                               "doc_id long, page_no int, y int, r array<int>, g array<int>, b array<int>")
+    quad = spark.createDataFrame([(1, 1, 16, 20, 150, 140, [(0.1, 0.0), (1.0, 0.2), (0.9, 1.0), (0.0, 0.8)])],
+        "doc_id long, page_no int, src_w int, src_h int, out_w int, out_h int, quad array<struct<x: double, y: double>>")
+    strokes = spark.createDataFrame([(1, 1, 0.2, [(0.2, 0.2), (0.8, 0.7)])], "doc_id long, page_no int, size double, points array<struct<x: double, y: double>>")
+    sizes = spark.createDataFrame([(1, 1, 16, 20)], "doc_id long, page_no int, w int, h int")
+    box = spark.createDataFrame([(1, 1, 2, 3, 5, 6, 10, 20, 30, 0)], "doc_id long, page_no int, x int, y int, w int, h int, r int, g int, b int, z int")
+    warped, erased, burnt = detect.warp_perspective(df, quad), raster.burn_erase(df, strokes, sizes), raster.burn_rects(df, box)
+    for c, v in zip("rgb", (10, 20, 30)):
+        grey = lines(spark, rgb[c])
+        assert (back(warped, c) == back(detect.warp_perspective(grey, quad))).all()
+        assert (back(erased, c) == back(raster.burn_erase(grey, strokes, sizes))).all()
+        want = rgb[c].copy()
+        want[3:9, 2:7] = v
+        assert (back(burnt, c) == want).all()
+
+
 def test_map_of_a_trapezium_by_hand(spark):
     """Corners (0, 0), (4, 0), (3, 2), (1, 2) of a 5 x 3 page: the centre of the unit square goes to the diagonals' meeting."""
     quad = [(0.0, 0.0), (1.0, 0.0), (0.75, 1.0), (0.25, 1.0)]
