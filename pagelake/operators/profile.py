@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..fixed import PROFILE_LIMIT
+
 
 def library_delete(lib: DataFrame, ids: DataFrame) -> DataFrame:
     return lib.join(ids.select("id"), "id", "left_anti")
@@ -40,14 +42,26 @@ def profile_pull(local: DataFrame, remote: DataFrame) -> DataFrame:
     )
 
 
+def profile_too_large(signatures: DataFrame, stamps: DataFrame, settings: DataFrame) -> DataFrame:
+    """owner and bytes of the owners whose entries exceed the size of a profile."""
+    def sizes(table: DataFrame, *columns: str) -> DataFrame:
+        return table.select("owner", sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long").alias("n"))
+
+    own = sizes(signatures, "id", "name").unionByName(sizes(stamps, "id", "title")).unionByName(sizes(settings, "key", "value"))
+    return own.groupBy("owner").agg(F.sum("n").alias("bytes")).where(f"bytes > {PROFILE_LIMIT}")
+
+
 def profile_export(
     signatures: DataFrame, stamps: DataFrame, settings: DataFrame, app: str, exported: str
 ) -> DataFrame:
     """One JSON document per owner with signatures, stamps and settings.
 
-    The three lists are gathered per owner; an owner's library is limited by
-    the 8 MB a profile may have.
+    The three lists are gathered per owner. Owners whose entries alone exceed the
+    size a profile may have are left out before anything is gathered; see
+    ``profile_too_large``.
     """
+    large = profile_too_large(signatures, stamps, settings).select("owner")
+    signatures, stamps, settings = (t.join(large, "owner", "left_anti") for t in (signatures, stamps, settings))
     sig = signatures.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("signatures"))
     st = stamps.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("stamps"))
     se = settings.groupBy("owner").agg(F.expr("map_from_entries(sort_array(array_agg(struct(key, value))))").alias("settings"))

@@ -79,7 +79,7 @@ def _to_lines(max_edge: int):
                 for lo in range(0, h, 256):
                     part = img[lo:lo + 256]
                     yield pd.DataFrame({
-                        "name": row.name, "src_w": row.width, "src_h": row.height, "y": np.arange(lo, lo + len(part)),
+                        "name": row.name, "path": row.path, "src_w": row.width, "src_h": row.height, "y": np.arange(lo, lo + len(part)),
                         "r": list(part[:, :, 2]), "g": list(part[:, :, 1]), "b": list(part[:, :, 0]),
                     })
 
@@ -87,19 +87,19 @@ def _to_lines(max_edge: int):
 
 
 def page_images(spark: SparkSession, folder: str, max_edge: int = IMPORT_MAX_EDGE) -> tuple[DataFrame, DataFrame]:
-    """(RGB scanlines, rejected files) of the images in a folder tree.
+    """(RGB scanlines, rejected files) of the images in a folder tree; the path tells equal names apart.
 
     Unreadable images and formats without a decoder are reported, not fatal.
     """
     src = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
     flat = src.selectExpr(
-        "regexp_extract(image.origin, '([^/]*)$', 1) AS name", "image.width AS width", "image.height AS height",
+        "regexp_extract(image.origin, '([^/]*)$', 1) AS name", "image.origin AS path", "image.width AS width", "image.height AS height",
         "image.nChannels AS channels", "image.data AS data",
     ).where(F.col("name").rlike(IMPORT_ENDING))
     lines = flat.where("width > 0").mapInPandas(
-        _to_lines(max_edge), "name string, src_w int, src_h int, y int, r array<int>, g array<int>, b array<int>"
+        _to_lines(max_edge), "name string, path string, src_w int, src_h int, y int, r array<int>, g array<int>, b array<int>"
     )
-    return lines, flat.where("width <= 0").selectExpr("name", "'unreadable' AS reason")
+    return lines, flat.where("width <= 0").selectExpr("name", "path", "'unreadable' AS reason")
 
 
 def profile_snapshot(spark: SparkSession, folder: str) -> DataFrame:
