@@ -153,7 +153,14 @@ def q_allocate(spark, d):
     return intake.allocate_names(arrivals, existing)
 
 
+def q_allocate_one_stamp(spark, d):
+    """Every text arrives under one name and with one stamp."""
+    arrivals = i.table(spark, d, "documents").selectExpr("doc_id AS seq", "'Akte.pdf' AS name", "77L AS now_ms")
+    return intake.allocate_names(arrivals, spark.sql("SELECT explode(array('Akte_7.pdf', 'Akte_77.pdf', 'Akte_77-3.pdf')) AS name"))
+
+
 QUERIES = {
+    "allocate_names_one_stamp": q_allocate_one_stamp,
     "raw_catalog": q_raw_catalog, "work_list": q_work_list, "safe_pdf_name": q_safe_pdf, "safe_raw_name": q_safe_raw,
     "inside_dir": q_inside, "fmt_size": q_fmt_size, "output_names": q_output_names, "file_kind": q_file_kind,
     "validate_upload": q_validate, "classify_error": q_classify, "apply_selection": q_apply_selection,
@@ -185,6 +192,12 @@ SELECT o_orderkey // 10 AS merged_id, 9 - o_orderkey % 10 AS order_no, o_orderke
   o_orderkey % 97 <> 0 AS readable FROM orders"""
 
 SQL = {
+    "allocate_names_one_stamp": """
+WITH free AS (SELECT CASE WHEN n <= 498 THEN 'Akte' || CASE WHEN n > 1 THEN '_' || n ELSE '' END
+    WHEN n = 499 THEN 'Akte_77' ELSE 'Akte_77-' || (n - 498) END || '.pdf' AS free_name, n
+  FROM range(1, (SELECT count(*) + 5 FROM documents)) t(n)),
+ ranked AS (SELECT free_name, row_number() OVER (ORDER BY n) AS k FROM free WHERE free_name NOT IN ('Akte_7.pdf', 'Akte_77.pdf', 'Akte_77-3.pdf'))
+SELECT seq, 'Akte.pdf' AS name, free_name FROM (SELECT doc_id AS seq, row_number() OVER (ORDER BY doc_id) AS k FROM documents) JOIN ranked USING (k)""",
     "raw_catalog": sql("SELECT * FROM cat", "raw_file", cat=_CAT),
     "work_list": sql(r"""SELECT name, mime, regexp_replace(name, '(?i)\.pdf$', '') || '_komprimiert.pdf' AS out_name FROM files
 WHERE name ILIKE '%.pdf' OR mime = 'application/pdf'""", "raw_file", files=_FILES),
