@@ -96,6 +96,21 @@ def test_passages(spark):
     assert passages.repeated_passages(cases.empty(spark)).collect() == []
 
 
+def test_chains_are_cut_where_documents_differ(spark):
+    """Shared passages with long unlike text between them in both documents, or in one."""
+    rng = random.Random(10)
+    head, foot, new = cases.prose(60, rng), cases.prose(60, rng), lambda n: cases.prose(n, rng)
+    rows = [(i, f"{new(40)} {head} {new(n)} {foot} {new(40)}", "en", "a") for i, n in ((700, 150), (701, 170))]
+    first, last = new(300), new(300)
+    rows += [(710, f"{first} {last}", "en", "a"), (711, f"{first} {new(400)} {last}", "en", "a"), (712, f"{first} {new(40)} {last}", "en", "a")]
+    got = passages.repeated_passages(cases.table(spark, rows)).collect()
+    found = sorted((r.doc_id, r.word_from, r.word_to, r.other_from) for r in got)
+    near = lambda x, y: len(x) == len(y) and all(p[0] == q[0] and max(abs(a - b) for a, b in zip(p, q)) <= 12 for p, q in zip(x, y))
+    want = [(701, 40, 100, 40), (701, 270, 330, 250), (711, 0, 300, 0), (711, 700, 1000, 300), (712, 0, 640, 0)]
+    assert near(found, want), found
+    assert all(r.identity >= 0.8 and r.word_to - r.word_from >= 50 for r in got)
+
+
 PAGES = [
     ("<html><body><nav><a>Menu</a></nav><article><h1>A title</h1><p>First &amp; last,\n   with <b>bold</b> words.<br>Next line.<p>Second "
      "one, never closed.<div class='ad'>Buy this now</div></article><footer>&copy; Us</footer><script>var x = '<p>no</p>'</script></body></html>",
