@@ -111,6 +111,20 @@ def test_chains_are_cut_where_documents_differ(spark):
     assert all(r.identity >= 0.8 and r.word_to - r.word_from >= 50 for r in got)
 
 
+def test_edited_passages_are_found(spark):
+    """Copies of 60 words with an edit in every sixth word and more rarely, at every phase."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for every in (6, 8, 10, 15):
+        for phase in range(0, every, 2):
+            text, i = cases.prose(60, rng), 800 + 2 * len(want)
+            copy = " ".join("changed" if n % every == phase else w for n, w in enumerate(text.split(" ")))
+            rows += [(i + k, f"{cases.prose(50, rng)} {t} {cases.prose(50, rng)}", "en", "a") for k, t in enumerate((text, copy))]
+            want.add((i + 1, i))
+    got = passages.repeated_passages(cases.table(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want
+
+
 PAGES = [
     ("<html><body><nav><a>Menu</a></nav><article><h1>A title</h1><p>First &amp; last,\n   with <b>bold</b> words.<br>Next line.<p>Second "
      "one, never closed.<div class='ad'>Buy this now</div></article><footer>&copy; Us</footer><script>var x = '<p>no</p>'</script></body></html>",
