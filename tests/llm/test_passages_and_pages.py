@@ -125,6 +125,23 @@ def test_edited_passages_are_found(spark):
     assert {(r.doc_id, r.other_id) for r in got} == want
 
 
+def test_passages_whose_parts_occur_before(spark):
+    """The seeds of a passage begin in several documents that lack the whole of it, or earlier in the same one."""
+    rng = random.Random(12)
+    one, two, new = cases.prose(35, rng), cases.prose(35, rng), lambda: cases.prose(50, rng)
+    both = f"{one} {two}"
+    rows = [(900, f"{new()} {one} {new()}", "en", "a"), (901, f"{new()} {two} {new()}", "en", "a")]
+    rows += [(902 + i, f"{new()} {both} {new()}", "en", "a") for i in range(12)]
+    parts = [cases.prose(30, rng) for _ in range(3)]
+    rows += [(950, " ".join([new(), parts[2], new(), parts[1], new(), parts[0], new(), *parts, new()]), "en", "a"), (951, " ".join([new(), *parts, new()]), "en", "a")]
+    got = passages.repeated_passages(cases.table(spark, rows)).collect()
+    words = {d: t.encode().lower().split() for d, t, *_ in rows}
+    assert {(r.doc_id, r.other_id) for r in got} == {(903 + i, 902) for i in range(11)} | {(951, 950)}
+    for i in {r.doc_id for r in got}:
+        own = [b" ".join(words[i][r.word_from : r.word_to]).decode() for r in got if r.doc_id == i]
+        assert any((both if i < 950 else " ".join(parts)).lower() in o for o in own)
+
+
 PAGES = [
     ("<html><body><nav><a>Menu</a></nav><article><h1>A title</h1><p>First &amp; last,\n   with <b>bold</b> words.<br>Next line.<p>Second "
      "one, never closed.<div class='ad'>Buy this now</div></article><footer>&copy; Us</footer><script>var x = '<p>no</p>'</script></body></html>",
