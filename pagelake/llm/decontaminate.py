@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages with test items.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of passages with test items.
 
 Words are lowered (A-Z) and stripped of ASCII punctuation. The test items' word
 trigrams go into a bitmap of fixed size, the only thing sent to all tasks; one
-scan of the documents keeps the positions whose trigram may be one of them. The
-positions, joined to the items' trigrams, tell how often each occurs in the
-corpus; of every ``SPREAD`` neighbouring trigrams of an item the rarest becomes a
-seed. So any ``SPREAD + 2`` words in a row that a copy leaves unedited hold a seed,
-however common the item has become, and frequent trigrams seed nothing where a
-rarer neighbour exists. Seeds that point to the same place of a document and an
-item give one window, and the window's words are aligned with the whole item:
-match +2, mismatch and gap -1. The score is the share of the best possible one.
+scan of the documents keeps the positions whose trigram may be one of them. Every
+position whose trigram an item has is a seed, so any three words in a row that a
+copy leaves unedited suffice, whatever else the corpus holds. Seeds that point to
+the same place of a document and an item give one window, and the window's words
+are aligned with the whole item: match +2, mismatch and gap -1. The score is the
+share of the best possible one. Windows that lack too many of the item's words to
+reach it are not aligned.
 
 Texts travel once more, dealt out by their own id, and only those with a window.
 
@@ -21,14 +20,16 @@ reported each under its own id.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pagelake.session import cut_lineage
 from .words import map_batches, signed, utf8, window_hashes, word_hashes
 
-GRAM, SPREAD, SCORE, SLACK = 3, 4, 0.5, 8
+GRAM, SCORE, SLACK = 3, 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, 1
 MAP_BITS = 24
 # Punctuation that edits come and go with.
@@ -96,18 +97,6 @@ def possible_hits(docs: DataFrame, found: np.ndarray, bits: int = MAP_BITS) -> D
     return map_batches(named, run, "doc_id long, pos long, gram long")
 
 
-def rare_seeds(own: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rarest trigram of every SPREAD neighbouring ones of each item, by occurrences in the corpus."""
-    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    counted = own.join(often, "gram")
-    reach = W.partitionBy("item_id").orderBy("place").rangeBetween(0, SPREAD - 1)
-    rarest = F.min(F.struct("often", "gram", "place")).over(reach)
-    # A trigram that the corpus lacks is rarer than any, and seeds nothing; a window with one may do with its other trigrams.
-    return counted.select("item_id", "n_words", rarest.alias("r")).select(
-        "item_id", "n_words", F.col("r.place").alias("place"), F.col("r.gram").alias("gram")
-    ).distinct()
-
-
 def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int, int]:
     """Best local alignment: share of the possible score, and the passage's words [from, to) in it."""
     numbers: dict[bytes, int] = {}
@@ -137,8 +126,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
     """doc_id, item_id, score and words [word_from, word_to) of the best aligned passage of every contaminated pair."""
     own = cut_lineage(item_grams(items), "item-grams")
     hits = cut_lineage(possible_hits(docs, bitmap(own, "gram")), "gram-hits")
-    seeds = rare_seeds(own, hits)
-    places = hits.join(seeds, "gram").select(
+    places = hits.join(own, "gram").select(
         "doc_id", "item_id", F.greatest(F.col("pos") - F.col("place") - SLACK, F.lit(0)).alias("a"),
         (F.col("pos") - F.col("place") + F.col("n_words") + SLACK).alias("b"), "n_words",
     )
@@ -153,7 +141,10 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
         for i, text, asked in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("asked").to_pylist()):
             words = plain_words(text)
             for q in asked:
-                share, start, end = align(words[q["a"] : q["b"]], plain_words((q["item"] or "").encode()))
+                passage, item = words[q["a"] : q["b"]], plain_words((q["item"] or "").encode())
+                if (Counter(passage) & Counter(item)).total() < score * len(item):
+                    continue  # the score is at most the share of matched words
+                share, start, end = align(passage, item)
                 if share >= score:
                     rows.append((i, q["item_id"], share, q["a"] + start, q["a"] + end))
         if not rows:

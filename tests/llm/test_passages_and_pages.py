@@ -53,6 +53,19 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontaminate.contaminated(cases.table(spark), table.limit(0)).collect() == []
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    """What is found in one document does not depend on which copies others hold."""
+    rng = random.Random(13)
+    items = [(i, cases.prose(37, rng)) for i in range(9)]
+    rows, want = [], set()
+    for i, text in items:
+        for n, t in enumerate((text, cases.edited(text, 4 + i % 3), text)):
+            rows.append((10 * i + n, f"{cases.prose(60, rng)} {t} {cases.prose(60, rng)}", "en", "a"))
+            want.add((10 * i + n, i))
+    got = decontaminate.contaminated(cases.table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def plain_chain(h, p):
     """Best score by trying every predecessor."""
     order = sorted(range(len(h)), key=lambda i: (h[i], -p[i]))
