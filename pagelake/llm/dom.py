@@ -13,7 +13,9 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"
 
 # Element names by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg object select option".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript template iframe svg object".split())
+FORM = frozenset("select option".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -41,7 +43,7 @@ class _Reader:
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text:
+        if text and not any(t in FORM for t, _ in self.open):
             tags = tuple(t for t, _ in self.open)
             self.blocks.append(Block(text, tags, tuple(w for _, ws in self.open for w in ws), self.linked))
         self.parts, self.linked = [], 0
@@ -56,9 +58,19 @@ class _Reader:
             if name in within:
                 return
 
+    def leave_form(self) -> None:
+        for i, (name, _) in enumerate(self.open):
+            if name in FORM:
+                del self.open[i:]
+                return
+
     def start(self, tag: str, attributes: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK or tag in FORM:
             self.flush()
+        if tag in BLOCK or tag == "select":  # form values hold no blocks
+            self.leave_form()
+        elif tag == "option":
+            self.close("option")
         if tag in _ENDS_P:
             self.close("p", BLOCK - {"p"})
         if tag in _SIBLINGS:
@@ -71,14 +83,39 @@ class _Reader:
             self.open.append((tag, words))
 
     def end(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK or any(t in FORM for t, _ in self.open):
             self.flush()
         self.close(tag)
 
 
+def _after(html: str, at: int, tag: str, around: set[str]) -> tuple[int, bool]:
+    """Where an element that began before ``at`` ends, and whether its end tag was seen.
+
+    After its end tag, or before that of a block around it; -1 if there is neither.
+    """
+    depth, seen = dict.fromkeys({tag, *around}, 0), False
+    for m in _TOKEN.finditer(html, at):
+        name = (m.group(2) or "").lower()
+        if name not in depth:
+            continue
+        if not m.group(1):
+            depth[name] += not m.group(3).endswith("/")
+        elif depth[name]:
+            depth[name] -= 1
+            seen = seen or name == tag
+        else:
+            return (m.end(), True) if name == tag else (m.start(), seen)
+    return -1, seen
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
-    """Blocks in page order; scripts, styles, comments, hidden text and form values are none."""
-    reader, at, html = _Reader(), 0, html or ""
+    """Blocks in page order; scripts, styles, comments, hidden text and form values are none.
+
+    Without an end tag, a script, style, textarea or title goes to the end of the page, as in browsers;
+    an svg, object, iframe, noscript or template to the end of the block around it; an option to the next
+    option, a block or its parent's end; a select to a block or its parent's end.
+    """
+    reader, at, html, endless = _Reader(), 0, html or "", set()
     while at < len(html):
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -96,6 +133,14 @@ def leaf_blocks(html: str | None) -> list[Block]:
             if not m.group(3).endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = close.end() if close else len(html)
+        elif tag.lower() in SKIPPED:
+            name = tag.lower()
+            if not m.group(3).endswith("/") and name not in endless:
+                end, seen = _after(html, at, name, {t for t, _ in reader.open if t in BLOCK})
+                if end >= 0:
+                    at = end
+                elif not seen:
+                    endless.add(name)  # nothing closes it: only its tag is left out
         else:
             reader.start(tag.lower(), m.group(3))
     reader.flush()

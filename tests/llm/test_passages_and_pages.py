@@ -184,6 +184,20 @@ def test_blocks_and_very_long_pages():
     assert blocks[0].tags == ("ul", "li") and blocks[0].names == ("top", "nav", "x") and blocks[1].linked == 1
 
 
+def test_elements_without_end_tags():
+    texts = lambda html: [b.text for b in dom.leaf_blocks(html)]
+    article = "<article><p>First words.</p><p>Last words.</p></article>"
+    want = ["First words.", "Last words."]
+    assert texts(f'<form><datalist><option value="a">x<option value="b">y</datalist></form>{article}') == want
+    assert texts(f"<form><select><option>x<option>y</select> <select><option>z</form>{article}") == want
+    assert texts(f"<select><option>x{article}<select><option>y</option></select>") == want
+    for tag in ("svg", "object", "iframe", "noscript", "template"):
+        assert texts(f"<div><{tag}>x</div>{article}<div><{tag}>y</{tag}></div>") == want
+        assert texts(f"<div><{tag}><div>x</div></{tag}></div>{article}") == want
+        assert texts(f"<{tag}>{article}") == want
+    assert texts(f"{article}<script>x") == want and texts("<p>a <select><option>b</option></select> c") == ["a", "c"]
+
+
 def test_held_out_accuracy_and_viterbi(spark, sf):
     """Trained without a fifth of the pages, the field labels that fifth; decoding is the best of all paths."""
     learnt = html_text.labelled_pages(spark.read.parquet(f"{sf}/pages.parquet"))
