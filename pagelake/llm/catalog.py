@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelake.inputs import table
-from . import decontaminate, html_text, mixing, near_dedup, passages, quality, secrets, sharding, token_files, url_filter
+from . import decontaminate, html_text, mixing, near_dedup, passages, quality, search, secrets, sharding, token_files, url_filter, vector_codes, warc
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +106,73 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+ m AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+"""
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+#: Every document scored on every item.
+OP12_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
+ t AS (SELECT row_number() OVER () AS d, doc_id, CAST(len(l) AS BIGINT) AS n, l FROM words WHERE len(l) > 0),
+ p AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(l) AS term FROM t) GROUP BY ALL),
+ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM t),
+ w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+ s AS (SELECT item_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+       FROM q JOIN w USING (term) JOIN p USING (term) JOIN t USING (d), c GROUP BY item_id, d)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN t USING (d) WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _op13_sql(rounds: int) -> str:
+    """Every part against every entry, round after round."""
+    steps = r"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ m AS MATERIALIZED (SELECT r, p, list_slice(x, p * (len(x) // 4) + 1, (p + 1) * (len(x) // 4)) AS x FROM v, range(4) AS g(p)),
+ c0 AS MATERIALIZED (SELECT p, r AS e, x FROM m WHERE r < 256)"""
+    nearest = """,
+ a{k} AS MATERIALIZED (SELECT r, p, x, min(struct_pack(d := d, e := e)) AS best FROM (
+   SELECT m.r, m.p, m.x, c.e, CAST(list_sum(list_transform(list_zip(m.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+   FROM m JOIN c{k} c USING (p)) GROUP BY r, p, x)"""
+    update = """,
+ s{j} AS (SELECT p, best.e AS e, unnest(x) AS x, unnest(range(len(x))) AS i FROM a{k}),
+ n{j} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x
+   FROM (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM s{j} GROUP BY ALL) GROUP BY p, e),
+ c{j} AS MATERIALIZED (SELECT p, e, coalesce(n{j}.x, c{k}.x) AS x FROM c{k} LEFT JOIN n{j} USING (p, e))"""
+    for k in range(rounds):
+        steps += nearest.format(k=k) + update.format(k=k, j=k + 1)
+    return steps + nearest.format(k=rounds) + f""",
+ f AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+ h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (r), h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_minhash": op1_minhash, "op2_decontamination": op2_decontamination, "op3_secrets": op3_secrets, "op4_ring": op4_ring,
-            "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_url_filter": op7_url_filter, "op8_html": op8_html, "op9_passages": op9_passages, "op10_tokens": op10_tokens}
+            "op5_mix": op5_mix, "op6_quality": op6_quality, "op7_url_filter": op7_url_filter, "op8_html": op8_html, "op9_passages": op9_passages, "op10_tokens": op10_tokens,
+            "op11_warc": op11_warc, "op12_search": op12_search, "op13_vector_codes": op13_vector_codes}
 
 
 def checks() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_minhash": OP1_SQL, "op7_url_filter": OP7_SQL, "op11_warc": OP11_SQL, "op12_search": OP12_SQL, "op13_vector_codes": _op13_sql(vector_codes.ROUNDS)}
