@@ -7,9 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-
-_GROUPS = ["sizing", "intake", "layout", "bilevel", "color", "detect", "objects", "profile", "flow"]
+_GROUPS = ["sizing", "intake", "layout", "bilevel", "color", "detect", "objects", "profile", "flow", "output"]
 
 
 def _collect(attr: str) -> dict:

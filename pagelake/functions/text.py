@@ -25,6 +25,12 @@ def drawn(c: str) -> str:
     return f"CASE WHEN {drawable(c)} THEN {c} ELSE regexp_replace({astral}, '[^\\\\x20-\\\\xFF{EDIT_KEEP}]', '?') END"
 
 
+def winansi_hex(c: str) -> str:
+    """A drawable text as hexadecimal bytes in the standard font's encoding."""
+    codes = STANDARD_EXTRA.encode("cp1252").decode("latin-1")
+    return f"hex(encode(translate({c}, '{STANDARD_EXTRA}', '{codes}'), 'ISO-8859-1'))"
+
+
 def number(e: str) -> str:
     """Two decimals at most, without a trailing ``.0``."""
     return f"regexp_replace(CAST(floor(({e}) * 100 + 0.5D) / 100D AS STRING), '\\\\.0$', '')"

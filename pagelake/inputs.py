@@ -79,21 +79,23 @@ def page_override(spark, sf_dir):
     )
 
 
-def text_lines(spark, sf_dir):
-    """Grey scanlines of every whole document text (doc_id, page_no, y, px)."""
+def sized_text_lines(spark, sf_dir):
+    """Grey scanlines of every whole document text (doc_id, page_no, h, y, px); h is known before lines are made."""
     w = TEXT_WIDTH
     # Each line keeps its 64 characters only, so the text is not copied per line.
-    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
-        "doc_id",
-        f"""posexplode(CASE WHEN length(text) = 0 THEN array('')
-              ELSE regexp_extract_all(text, '(?s).{{1,{w}}}', 0) END) AS (y, line)""",
+    cut = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
+        "doc_id", f"CASE WHEN length(text) = 0 THEN array('') ELSE regexp_extract_all(text, '(?s).{{1,{w}}}', 0) END AS l"
     )
-    return lines.selectExpr(
-        "doc_id", "1 AS page_no", "y",
+    return cut.selectExpr("doc_id", "size(l) AS h", "posexplode(l) AS (y, line)").selectExpr(
+        "doc_id", "1 AS page_no", "h", "y",
         f"transform(split(rpad(line, {w}, chr(255)), ''), c -> ascii(c) % 256) AS px",
     )
 
 
+def text_lines(spark, sf_dir):
+    return sized_text_lines(spark, sf_dir).drop("h")
+
+
 def embed_lines(spark, sf_dir):
     """Embeddings as 8x8 grey pages."""
     return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").selectExpr(

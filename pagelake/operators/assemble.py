@@ -15,9 +15,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, StringType
 
 from ..functions import fax
-from ..keys import running_total
+from ..keys import ordered_index, running_total
 from .bilevel import _with_line_above, pack_nibbles, packed_page
 from .raster import PAGE
+from .textlayer import word_operators
 
 FAN_OUT = 512
 HEADER = "%PDF-1.5\n"
@@ -81,26 +82,37 @@ def _xref(offset: str) -> str:
     return f"concat(lpad(CAST({offset} AS STRING), 10, '0'), ' 00000 n \\n')"
 
 
-def assemble_documents(encoded: DataFrame, chunk: int = FAN_OUT) -> DataFrame:
-    """Parts of one image-only document per doc_id: (doc_id, part, offset, content).
+def assemble_documents(encoded: DataFrame, words: DataFrame | None = None, chunk: int = FAN_OUT) -> DataFrame:
+    """Parts of one document of page images per doc_id: (doc_id, part, offset, content).
 
-    ``encoded``: pages 1..n of each document, without gaps, with w_pt, h_pt, w_px, h_px,
-    codec, stream, palette. Page i owns objects 3i..3i+2; a two-level page tree
-    keeps every tree node small; index entries have a fixed size, so each page
-    also knows where its own entries go.
+    ``encoded``: pages of each document with page_no, w_pt, h_pt, w_px, h_px, codec, stream,
+    palette; they are numbered anew in order, so that gaps in page_no do no harm. Page i
+    owns objects 3i..3i+2; a two-level page tree keeps every tree node small; index entries
+    have a fixed size, so each page also knows where its own entries go.
+
+    ``words``: hidden words by doc_id and page_no as ``place_words`` gives them. They go into
+    the page's content stream and use one font object, which a document's pages share; it follows the
+    tree nodes and the catalogue. Words of pages that are not there are left out.
     """
+    layered = encoded.withColumn("_words", F.lit(None).cast("string")) if words is None else encoded.join(
+        word_operators(words).withColumnRenamed("operators", "_words"), PAGE, "left")
+    encoded = ordered_index(layered, ["doc_id"], F.floor(F.col("page_no") / 1024), ["page_no"], "_place").drop("page_no").withColumn(
+        "page_no", F.col("_place").cast("int")).drop("_place")
     kind = """CASE codec WHEN 'jpeg' THEN '/ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode'
         WHEN 'indexed' THEN concat('/ColorSpace [/Indexed /DeviceRGB ', length(palette) div 6 - 1, ' <', palette, '>] /BitsPerComponent 4 /Filter /FlateDecode')
         WHEN 'g4' THEN concat('/ColorSpace /DeviceGray /BitsPerComponent 1 /Filter /CCITTFaxDecode /DecodeParms << /K -1 /Columns ', w_px, ' /Rows ', h_px, ' /BlackIs1 false >>')
         ELSE '/ColorSpace /DeviceGray /BitsPerComponent 1 /Filter /FlateDecode' END"""
-    draw = "concat('q ', w_pt, ' 0 0 ', h_pt, ' 0 0 cm /Im0 Do Q')"
+    draw = "concat('q ', w_pt, ' 0 0 ', h_pt, ' 0 0 cm /Im0 Do Q', coalesce(concat('\\n', _words), ''))"
+    font_id = f"(3 + 3 * n + (n + {chunk - 1}) div {chunk})"
+    font = "''" if words is None else f"""concat({font_id}, ' 0 obj\\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>\\nendobj\\n')"""
     sizes = encoded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     pages = encoded.join(sizes, "doc_id").selectExpr(
         "*", f"CAST((page_no - 1) div {chunk} AS BIGINT) AS node", "3L * page_no AS id"
     ).selectExpr(
         "doc_id", "page_no", "n", "node", "id",
         f"""concat(id, ' 0 obj\\n<< /Type /Page /Parent ', 3 + 3 * n + node, ' 0 R /MediaBox [0 0 ', w_pt, ' ', h_pt,
-            '] /Resources << /XObject << /Im0 ', id + 2, ' 0 R >> >> /Contents ', id + 1, ' 0 R >>\\nendobj\\n') AS _a""",
+            '] /Resources << /XObject << /Im0 ', id + 2, ' 0 R >>', if(_words IS NULL, '', concat(' /Font << /F0 ', {font_id}, ' 0 R >>')),
+            ' >> /Contents ', id + 1, ' 0 R >>\\nendobj\\n') AS _a""",
         f"concat(id + 1, ' 0 obj\\n<< /Length ', length({draw}), ' >>\\nstream\\n', {draw}, '\\nendstream\\nendobj\\n') AS _b",
         f"""concat(id + 2, ' 0 obj\\n<< /Type /XObject /Subtype /Image /Width ', w_px, ' /Height ', h_px, ' ', {kind},
             ' /Length ', length(stream), ' >>\\nstream\\n') AS _c""",
@@ -125,8 +137,9 @@ def assemble_documents(encoded: DataFrame, chunk: int = FAN_OUT) -> DataFrame:
         "_root", F.expr("""concat('2 0 obj\\n<< /Type /Pages /Count ', n, ' /Kids [',
             array_join(transform(sequence(0, CAST(n_nodes - 1 AS INT)), k -> concat(3 + 3 * n + k, ' 0 R')), ' '), '] >>\\nendobj\\n')""")
     ).withColumn("_cat", F.lit("1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n")).selectExpr(
-        "*", "root_at + length(_root) AS cat_at", "root_at + length(_root) + length(_cat) AS xref_at", "3 + 3 * n + n_nodes AS n_objects"
-    ).withColumn("_head", F.expr("concat('xref\\n0 ', n_objects, '\\n')")).withColumn("entries_at", F.expr("xref_at + length(_head)"))
+        "*", "root_at + length(_root) AS cat_at", "root_at + length(_root) + length(_cat) AS font_at",
+        f"3 + 3 * n + n_nodes + {int(words is not None)} AS n_objects", f"{font} AS _font"
+    ).withColumn("xref_at", F.expr("font_at + length(_font)")).withColumn("_head", F.expr("concat('xref\\n0 ', n_objects, '\\n')")).withColumn("entries_at", F.expr("xref_at + length(_head)"))
     node_at = running_total(
         nodes, ["doc_id"], F.floor(F.col("node") / 4096), ["node"], "_len", "_before"
     ).join(docs.select("doc_id", "nodes_at", "entries_at"), "doc_id").withColumn("_at", F.expr("CAST(nodes_at + _before AS BIGINT)"))
@@ -140,10 +153,14 @@ def assemble_documents(encoded: DataFrame, chunk: int = FAN_OUT) -> DataFrame:
     )
     frame = docs.selectExpr("doc_id", f"""explode(array(
         named_struct('part', 'header', 'offset', 0L, 'content', {_bytes(f"'{HEADER[:-1]}" + chr(92) + "n'")}),
-        named_struct('part', 'root', 'offset', CAST(root_at AS BIGINT), 'content', {_bytes('concat(_root, _cat, _head)')}),
+        named_struct('part', 'root', 'offset', CAST(root_at AS BIGINT), 'content', {_bytes('concat(_root, _cat, _font, _head)')}),
         named_struct('part', 'index', 'offset', CAST(entries_at AS BIGINT), 'content',
             {_bytes(f"concat('0000000000 65535 f {chr(92)}n', {_xref('cat_at')}, {_xref('root_at')})")}),
         named_struct('part', 'trailer', 'offset', CAST(entries_at + 20 * n_objects AS BIGINT), 'content',
             {_bytes("concat('trailer{0}n<< /Size ', n_objects, ' /Root 1 0 R >>{0}nstartxref{0}n', CAST(xref_at AS STRING), '{0}n%%EOF{0}n')".format(chr(92)))})
         )) AS p""").selectExpr("doc_id", "p.*")
-    return body.unionByName(tree).unionByName(node_index).unionByName(page_index).unionByName(frame)
+    whole = body.unionByName(tree).unionByName(node_index).unionByName(page_index).unionByName(frame)
+    if words is None:
+        return whole
+    return whole.unionByName(docs.selectExpr(
+        "doc_id", "'index' AS part", "CAST(entries_at + 20 * (n_objects - 1) AS BIGINT) AS offset", f"{_bytes(_xref('font_at'))} AS content"))

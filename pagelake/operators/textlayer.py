@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import drawable
+from ..functions.text import drawable, number, winansi_hex
 from .raster import PAGE
 
 
@@ -38,3 +38,15 @@ def searchable_text(words: DataFrame, order: tuple[str, ...] = ("idx",)) -> Data
             F.expr(f"transform(sort_array(array_agg(struct({', '.join(order)}, text))), e -> e.text)"), " "
         ).alias("page_text")
     )
+
+
+def word_operators(placed: DataFrame, font: str = "F0") -> DataFrame:
+    """Content stream text of every page's hidden words, in the order of idx.
+
+    Rendering mode 3 draws nothing, but the words can be found and copied. Each word sets its own size
+    and place. What is gathered is bounded by the page.
+    """
+    shown = f"concat('/{font} ', {number('size')}, ' Tf 1 0 0 1 ', {number('x')}, ' ', {number('y')}, ' Tm <', {winansi_hex('text')}, '> Tj')"
+    return placed.selectExpr(*PAGE, "idx", f"{shown} AS _op").groupBy(*PAGE).agg(
+        F.expr("concat('BT 3 Tr\\n', array_join(transform(sort_array(array_agg(struct(idx, _op))), e -> e._op), '\\n'), '\\nET')").alias("operators")
+    )
