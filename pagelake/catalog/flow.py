@@ -91,6 +91,17 @@ def q_frame_corners(spark, d):
         "camera", "tick", "doc_id", *[f"round(doc_quad[{k}].{a}, 6) AS {a}{k}" for k in range(4) for a in "xy"])
 
 
+def q_frame_stream(spark, d):
+    """The same frames as a stream; frames of a clock in the far future let the watermark close the last tick."""
+    clock = "named_struct('doc_id', CAST(NULL AS BIGINT), 'camera', 'clock', 'ts', timestamp'2100-01-01')"
+    frame = "named_struct('doc_id', doc_id, 'camera', lang, 'ts', timestamp_millis(1704067200000 + doc_id * 60))"
+    stream = _stream(spark, d, "documents").selectExpr(f"explode(if(doc_id % 100 = 0, array({frame}, {clock}), array({frame}))) AS f").select("f.*")
+    out = scratch_path(spark, "corners")
+    jobs.frame_corner_stream(stream, i.text_lines(spark, d), out)
+    return spark.read.parquet(out).selectExpr(
+        "camera", "tick", "doc_id", *[f"round(doc_quad[{k}].{a}, 6) AS {a}{k}" for k in range(4) for a in "xy"])
+
+
 def _finished(spark, d):
     return i.table(spark, d, "pages").selectExpr(
         "page_id AS seq", "concat('Akte ', page_id % 40, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '' ELSE ' ü.pdf' END) AS name",
@@ -230,7 +241,7 @@ QUERIES = {
     "batch_outcome": q_outcome, "batch_outcome_folder": q_outcome_folder, "batch_summary": q_summary, "retry_policy": q_retry,
     "debounced_profile": q_debounce, "coalesced_requests": q_requests, "collapse_pending": q_pending,
     "intake_stream": q_intake_stream, "scan_batch_collector": q_collector, "newest_frames": q_frames,
-    "frame_corners": q_frame_corners, "handoff": q_handoff, "auto_handoff_stream": q_handoff_stream, "raw_drop": q_raw_drop,
+    "frame_corners": q_frame_corners, "frame_corner_stream": q_frame_stream, "handoff": q_handoff, "auto_handoff_stream": q_handoff_stream, "raw_drop": q_raw_drop,
     "save_results": q_save, "profile_write": q_profile_write, "profile_import": q_profile_import,
     "page_images": q_page_images, "import_folder": q_import_folder, "assemble_documents": q_assemble,
 }

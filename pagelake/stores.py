@@ -3,7 +3,7 @@
 A path is a plain folder or the URI of a store that pyarrow knows (``file``, ``hdfs``,
 ``s3``, ``gs``, ``abfs``); nothing here needs a folder that all machines mount.
 
-Writers stage: a task writes below ``_staging/<job>`` and hands its receipt to the
+Writers stage: a task writes below ``_staging-<job>`` and hands its receipt to the
 driver with its commit message. Only ``commit`` moves staged files to their names,
 and only those of the attempts that Spark accepted; ``abort`` removes the whole
 staging folder, so that a failed, repeated or speculative attempt leaves nothing.
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyarrow import NativeFile, fs
 from pyspark.sql.datasource import WriterCommitMessage
 
-STAGING = "_staging"
+STAGING = "_staging-"
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -54,11 +54,7 @@ class StagedFolder:
 
     @property
     def staging(self) -> str:
-        return f"{open_store(self.path)[1]}/{STAGING}/{self.job}"
-
-    def prepare(self) -> None:
-        """Make the folders; object stores need none, and take this as a no-op."""
-        open_store(self.path)[0].create_dir(self.staging, recursive=True)
+        return f"{open_store(self.path)[1]}/{STAGING}{self.job}"
 
     @contextmanager
     def create(self, name: str) -> Iterator[tuple[str, NativeFile]]:
@@ -70,7 +66,8 @@ class StagedFolder:
             with store.open_output_stream(f"{self.staging}/{staged}", compression=None) as out:
                 yield staged, out
         except BaseException:
-            store.delete_file(f"{self.staging}/{staged}")
+            if store.get_file_info(f"{self.staging}/{staged}").type == fs.FileType.File:
+                store.delete_file(f"{self.staging}/{staged}")
             raise
 
     def commit(self, messages: list[Staged | None]) -> None:
