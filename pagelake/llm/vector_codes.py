@@ -102,12 +102,27 @@ def _assigned(parts: DataFrame, book: Codebook, *keep: str) -> DataFrame:
 
 
 class Residents:
-    """The bucketed table of arrivals and departures."""
+    """The bucketed table of arrivals and departures, while the block lasts.
+
+    Meanwhile joins may use a partitioning by some of their keys, as the owner is only a part of
+    the key by which an arrival meets its departure. Afterwards the table's name is gone; its files stay in the shared folder.
+    """
+
+    _SETTING = "spark.sql.requireAllClusterKeysForCoPartition"
 
     def __init__(self, spark, width: int, buckets: int):
         self.spark, self.buckets, self.width = spark, buckets, width
         self.name, self.path = f"residents_{uuid.uuid4().hex[:12]}", scratch_path(spark, "residents")
 
+    def __enter__(self) -> "Residents":
+        self.before = self.spark.conf.get(self._SETTING)
+        self.spark.conf.set(self._SETTING, "false")
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.conf.set(self._SETTING, self.before)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, moves: DataFrame) -> None:
         """Append rows of row, position, entry, salt, round, arrives and part; the one shuffle of a round."""
         dealt = moves.select("row", *_OWNER, "round", "arrives", "part").repartition(self.buckets, *_OWNER)
@@ -130,10 +145,6 @@ class Residents:
             entries[r.position, r.entry] = r.mean
         return Codebook(entries)
 
-    def close(self) -> None:
-        """Forget the table's name; its files stay in the shared folder."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
 
 def first_book(whole: DataFrame, parts: int, entries: int) -> Codebook:
     """The parts of the ``entries`` least vec_ids."""
@@ -142,6 +153,14 @@ def first_book(whole: DataFrame, parts: int, entries: int) -> Codebook:
     return Codebook(np.ascontiguousarray(table.transpose(1, 0, 2)))
 
 
+def _moves(changed: DataFrame, turn: int, buckets: int) -> DataFrame:
+    """Two rows for every part that changes its entry: it departs from where it came to in ``round``, and arrives elsewhere."""
+    gone = F.struct(F.col("entry").alias("e"), F.col("round").alias("r"), F.lit(False).alias("arrives"), F.lit(None).cast("array<int>").alias("p"))
+    come = F.struct(F.col("new").alias("e"), F.lit(turn).alias("r"), F.lit(True).alias("arrives"), F.col("part").alias("p"))
+    both = changed.select("row", "position", F.explode(F.array(gone, come)).alias("m"))
+    return both.select("row", "position", *_owned(F.col("m.e"), buckets), F.col("m.r").alias("round"), "m.arrives", F.col("m.p").alias("part"))
+
+
 def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:
     """vec_id, label, code, error, label_error and codebooks_sha256 of vec_id, label and embedding.
 
@@ -160,23 +179,18 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
         return rows.select("vec_id", "label", *[F.lit(None).cast(t).alias(c) for c, t in (("code", "string"), ("error", "long"), ("label_error", "long"), ("codebooks_sha256", "string"))])
     book = first_book(whole, parts, entries)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * parts // BUCKET_ROWS))
-    home = Residents(spark, width, buckets)
-    cut = F.posexplode(F.array(*[F.slice("v", p * width + 1, width) for p in range(parts)])).alias("position", "part")
-    start = _assigned(whole.select("row", cut), book, "row")
-    home.add(start.select("row", "position", *_owned(F.col("new"), buckets), F.lit(0).alias("round"), F.lit(True).alias("arrives"), "part"))
-    for turn in range(1, rounds + 1):
-        book = home.updated(book)
-        moved = _assigned(home.members(), book, "row", "entry", "round").where("new != entry")
-        gone = F.struct(F.col("entry").alias("e"), F.col("round").alias("r"), F.lit(False).alias("arrives"), F.lit(None).cast("array<int>").alias("p"))
-        come = F.struct(F.col("new").alias("e"), F.lit(turn).alias("r"), F.lit(True).alias("arrives"), F.col("part").alias("p"))
-        both = moved.select("row", "position", F.explode(F.array(gone, come)).alias("m"))
-        home.add(both.select("row", "position", *_owned(F.col("m.e"), buckets), F.col("m.r").alias("round"), "m.arrives", F.col("m.p").alias("part")))
-    coded = _assigned(home.members(), book, "row", "entry").select("row", "position", "new", "error")
-    digits = max(2, len(f"{entries - 1:x}"))
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "new"))), lambda s: F.lpad(F.lower(F.hex(s["new"])), digits, "0")), "")
-    codes = coded.groupBy("row").agg(code.alias("code"), F.sum("error").alias("error"))
-    result = cut_lineage(rows.select("row", "vec_id", "label").join(codes, "row", "left").drop("row"), "codes")
-    home.close()
+    with Residents(spark, width, buckets) as home:
+        cut = F.posexplode(F.array(*[F.slice("v", p * width + 1, width) for p in range(parts)])).alias("position", "part")
+        start = _assigned(whole.select("row", cut), book, "row")
+        home.add(start.select("row", "position", *_owned(F.col("new"), buckets), F.lit(0).alias("round"), F.lit(True).alias("arrives"), "part"))
+        for turn in range(1, rounds + 1):
+            book = home.updated(book)
+            home.add(_moves(_assigned(home.members(), book, "row", "entry", "round").where("new != entry"), turn, buckets))
+        coded = _assigned(home.members(), book, "row", "entry").select("row", "position", "new", "error")
+        digits = max(2, len(f"{entries - 1:x}"))
+        code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "new"))), lambda s: F.lpad(F.lower(F.hex(s["new"])), digits, "0")), "")
+        codes = coded.groupBy("row").agg(code.alias("code"), F.sum("error").alias("error"))
+        result = cut_lineage(rows.select("row", "vec_id", "label").join(codes, "row", "left").drop("row"), "codes")
     totals = result.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
     return result.join(totals, F.col("label").eqNullSafe(F.col("_label"))).select(
         "vec_id", "label", "code", "error", F.when(F.col("code").isNotNull(), F.col("label_error")).alias("label_error"),

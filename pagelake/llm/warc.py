@@ -188,22 +188,23 @@ class Frames:
         self.drop(8 + size if whole else len(self.held))
         return data
 
-    def dictionary(self) -> tuple[zstandard.ZstdCompressionDict | None, str | None]:
+    def decoder(self) -> tuple[zstandard.ZstdDecompressor, str | None]:
+        """Loaded with the dictionary, if the stream begins with one, and what is wrong with that."""
+        plain = zstandard.ZstdDecompressor()
         if not self.need(4) or struct.unpack("<I", self.held[:4])[0] != DICTIONARY_MAGIC:
-            return None, None
+            return plain, None
         data = self.skippable()
         try:
             if data and struct.unpack("<I", data[:4])[0] == FRAME_MAGIC:
-                data = zstandard.ZstdDecompressor().decompress(data)
-            return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT), None
+                data = plain.decompress(data)
+            return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT)), None
         except (zstandard.ZstdError, TypeError, ValueError, struct.error):
-            return None, "dictionary"
+            return plain, "dictionary"
 
     def __iter__(self) -> Iterator[tuple[int, int, bytes | None, str | None]]:
-        words, wrong = self.dictionary()
+        unpack, wrong = self.decoder()
         if wrong:
             yield 0, self.at, None, wrong
-        unpack = zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()
         while self.need(4) or self.held:
             start, magic = self.at, int.from_bytes(self.held[:4], "little")
             if magic & 0xFFFFFFF0 == 0x184D2A50:
