@@ -1,8 +1,8 @@
 """Writers for finished documents, intake files and profiles.
 
-All of them write below a folder every executor can see. A file becomes
-visible only by renaming a hidden, complete one, so a repeated or lost task
-can never leave half a file under a final name.
+All of them write to any store that ``stores`` reaches. A file becomes visible only
+when a staged, complete one gets its name, so a repeated or lost task can never leave half
+a file under a final name. On a mounted folder the parts of a document are written in place.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from ..fixed import PROFILE_LIMIT
@@ -19,26 +20,8 @@ from ..functions import names as n
 from ..functions.text import valid_json
 from ..operators.intake import allocate_names, validate_upload
 from ..session import cut_lineage, local_path
-
-
-def _write_files(folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"]):
-                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex[:8]}.part")
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, os.path.join(folder, name))
-            yield pd.DataFrame({"name": pdf["name"], "bytes": pdf["content"].map(len)})
-
-    return run
-
-
-def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Write (name, content) rows; receipts (name, bytes) are stored before they are returned."""
-    done = files.select("name", "content").mapInPandas(_write_files(local_path(folder)), "name string, bytes long")
-    return cut_lineage(done, "receipts")
+from ..stores import open_store, remove_file, replace_text
+from .store import write_files, write_streamed
 
 
 def handoff(results: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -106,9 +89,12 @@ def _publish(folder: str, run_id: str):
 def write_parts(parts: DataFrame, folder: str) -> DataFrame:
     """Write documents given as (name, offset, content) parts of any length.
 
-    Every part goes to its own offset, so one long document is written by many
-    tasks. Files are renamed only after all part receipts are stored.
+    On a mounted folder every part goes to its own offset, so one long document is written by many
+    tasks. Files are renamed only after all part receipts are stored. Other stores have no
+    writing in places: there a document passes through one task as a stream.
     """
+    if not isinstance(open_store(folder)[0], fs.LocalFileSystem):
+        return write_streamed(parts, folder)
     run_id = uuid.uuid4().hex[:8]
     put = cut_lineage(parts.select("name", "offset", "content").mapInPandas(_put_parts(local_path(folder), run_id), "name string, bytes long"), "parts")
     whole = put.groupBy("name").agg(F.sum("bytes").alias("bytes"))
@@ -117,15 +103,12 @@ def write_parts(parts: DataFrame, folder: str) -> DataFrame:
 
 def delete_files(files: DataFrame, folder: str) -> DataFrame:
     """Remove intake files by name; one that is already gone counts as removed."""
-    folder = local_path(folder)
+    folder = folder.rstrip("/")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name in pdf["name"]:
-                try:
-                    os.unlink(os.path.join(folder, os.path.basename(name)))
-                except FileNotFoundError:
-                    pass
+                remove_file(f"{folder}/{os.path.basename(name)}")
             yield pd.DataFrame({"name": pdf["name"], "removed": True})
 
     return cut_lineage(files.select("name").mapInPandas(run, "name string, removed boolean"), "removed")
@@ -149,8 +132,5 @@ def profile_write(profiles: DataFrame, folder: str) -> DataFrame:
     checked = profile_check(profiles)
     version = f"v-{uuid.uuid4().hex[:12]}"
     checked.where("reason IS NULL").select("owner", "document").write.parquet(f"{folder}/{version}")
-    tmp = os.path.join(local_path(folder), f".CURRENT.{version}")
-    with open(tmp, "w") as f:
-        f.write(version)
-    os.replace(tmp, os.path.join(local_path(folder), "CURRENT"))
+    replace_text(f"{folder}/CURRENT", version)
     return checked.where("reason IS NOT NULL")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,56 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..fixed import IMPORT_ENDING, IMPORT_MAX_EDGE
 from ..functions.text import valid_json
 from ..operators.intake import raw_catalog_df
-from ..session import local_path
-
-BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
-
-def _listed(df: DataFrame) -> DataFrame:
-    """File facts only; the content column is never read."""
-    return df.selectExpr(
-        "regexp_extract(path, '([^/]*)$', 1) AS name", "length AS bytes", "unix_millis(modificationTime) AS modified_ms",
-        "path",
-    )
-
-
-_FACTS = "name string, bytes long, modified_ms long, path string"
-
-
-def _underscored(spark: SparkSession, folder: str, depth: int, pattern: str = "*") -> DataFrame:
-    """Files that Spark's own listing hides: a name on their way below ``folder`` begins with ``_``.
-
-    Only such names are globbed, level by level; ``.`` names stay hidden.
-    """
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = {}
-    for level in range(depth + 1):
-        for at in range(level + 1):
-            steps = ["*"] * at + ["_*"] + ["*"] * (level - at)
-            last = "_" + pattern if at == level else pattern
-            for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "/".join([*steps[:-1], last]))) or []:
-                path = f.getPath().toString()
-                if f.isFile() and "/." not in path[len(folder.rstrip("/")):]:
-                    rows[path] = (path.rpartition("/")[2], f.getLen(), f.getModificationTime(), path)
-    return spark.createDataFrame(sorted(rows.values()), _FACTS)
-
+from ..stores import read_text
+from .folders import folder_files
 
 def raw_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted files of an intake folder, oldest first; names may begin with ``_``."""
-    seen = _listed(spark.read.format("binaryFile").load(folder))
-    return raw_catalog_df(seen.unionByName(_underscored(spark, folder, 0)).drop("path"))
+    return raw_catalog_df(folder_files(spark, folder).select("name", "bytes", "modified_ms"))
 
 
 def import_folder(spark: SparkSession, folder: str, max_depth: int = 2) -> DataFrame:
     """PDF files of a folder tree, at most ``max_depth`` directories down."""
-    files = _listed(
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    )
-    files = files.unionByName(_underscored(spark, folder, max_depth, "*.[pP][dD][fF]"))
-    below = F.substring_index("path", folder.rstrip("/") + "/", -1)
-    return files.withColumn("depth", F.size(F.split(below, "/")) - 1).where(F.col("depth") <= max_depth)
+    return folder_files(spark, folder, max_depth).where("lower(name) LIKE '%.pdf'")
 
 
 def _to_lines(max_edge: int):
@@ -104,12 +64,10 @@ def page_images(spark: SparkSession, folder: str, max_edge: int = IMPORT_MAX_EDG
 
 def profile_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Stored profiles; a missing profile is empty, any other problem surfaces."""
-    try:
-        with open(os.path.join(local_path(folder), "CURRENT")) as f:
-            version = f.read().strip()
-    except FileNotFoundError:
+    version = read_text(f"{folder}/CURRENT")
+    if version is None:
         return spark.createDataFrame([], "owner long, document string")
-    return spark.read.parquet(f"{folder}/{version}")
+    return spark.read.parquet(f"{folder}/{version.strip()}")
 
 
 def profile_parse(documents: DataFrame, app: str) -> DataFrame:

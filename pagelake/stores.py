@@ -38,6 +38,36 @@ def list_files(path: str, suffix: str = "") -> list[fs.FileInfo]:
     return sorted(wanted, key=lambda f: f.base_name)
 
 
+def children(path: str, recursive: bool = False) -> list[fs.FileInfo]:
+    """Everything below a folder; none where it is missing."""
+    store, inner = open_store(path)
+    return store.get_file_info(fs.FileSelector(inner, allow_not_found=True, recursive=recursive))
+
+
+def remove_file(path: str) -> None:
+    """One that is already gone counts as removed."""
+    store, inner = open_store(path)
+    if store.get_file_info(inner).type == fs.FileType.File:
+        store.delete_file(inner)
+
+
+def read_text(path: str) -> str | None:
+    store, inner = open_store(path)
+    if store.get_file_info(inner).type != fs.FileType.File:
+        return None
+    with store.open_input_stream(inner) as f:
+        return f.read().decode()
+
+
+def replace_text(path: str, text: str) -> None:
+    """A small file in one step: readers see the old or the new content."""
+    folder, _, name = path.rpartition("/")
+    job = StagedFolder(folder)
+    with job.create() as (staged, out):
+        out.write(text.encode())
+    job.commit([Staged({staged: name}, 1)])
+
+
 @dataclass
 class Staged(WriterCommitMessage):
     """What a task hands over: staged name -> final name, and how many rows they hold."""
@@ -49,18 +79,22 @@ class Staged(WriterCommitMessage):
 class StagedFolder:
     """One write job into a folder; the same object serves its tasks and its driver."""
 
-    def __init__(self, path: str):
-        self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, path: str, job: str | None = None):
+        self.path, self.job = path.rstrip("/"), job or uuid.uuid4().hex
+
+    @property
+    def staging_path(self) -> str:
+        return f"{self.path}/{STAGING}{self.job}"
 
     @property
     def staging(self) -> str:
-        return f"{open_store(self.path)[1]}/{STAGING}{self.job}"
+        return open_store(self.staging_path)[1]
 
     @contextmanager
-    def create(self, name: str) -> Iterator[tuple[str, NativeFile]]:
-        """A new staged file, and its staged name; removed if the block fails."""
+    def create(self, label: str = "") -> Iterator[tuple[str, NativeFile]]:
+        """A new staged file's name, which ends in ``label``, and the file to write; removed if the block fails."""
         store, _ = open_store(self.path)
-        staged = f"{uuid.uuid4().hex[:12]}-{name}"
+        staged = uuid.uuid4().hex + label
         store.create_dir(self.staging, recursive=True)
         try:
             with store.open_output_stream(f"{self.staging}/{staged}", compression=None) as out:
@@ -70,11 +104,19 @@ class StagedFolder:
                 store.delete_file(f"{self.staging}/{staged}")
             raise
 
-    def commit(self, messages: list[Staged | None]) -> None:
+    def publish(self, staged: str, name: str, size: int | None = None) -> None:
+        """Give a staged file its name, in place of what has it. Done twice, with its size known, it is done once."""
         store, inner = open_store(self.path)
+        if size is not None and store.get_file_info(f"{self.staging}/{staged}").type == fs.FileType.NotFound:
+            if store.get_file_info(f"{inner}/{name}").size == size:
+                return
+        store.move(f"{self.staging}/{staged}", f"{inner}/{name}")
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        """Publish what the accepted tasks hand over, from the driver: for a few files a task."""
         for message in filter(None, messages):
             for staged, name in message.files.items():
-                store.move(f"{self.staging}/{staged}", f"{inner}/{name}")
+                self.publish(staged, name)
         self.abort()
 
     def abort(self) -> None:

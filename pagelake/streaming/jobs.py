@@ -14,7 +14,7 @@ from ..functions import names as n
 from ..operators import attempts as a
 from ..operators.intake import validate_upload
 from ..session import cut_lineage, scratch_path
-from ..sources.files import BINARY_SCHEMA, _listed
+from ..sources.folders import folder_stream
 
 
 def intake_rules(files: DataFrame) -> DataFrame:
@@ -23,12 +23,9 @@ def intake_rules(files: DataFrame) -> DataFrame:
     return validate_upload(visible)
 
 
-def intake_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
-    """Files arriving in the intake folder; half-written ones are hidden by name."""
-    src = (
-        spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("maxFilesPerTrigger", per_trigger).load(folder)
-    )
-    return intake_rules(_listed(src))
+def intake_stream(spark: SparkSession, folder: str, settle_ms: int = 10_000) -> DataFrame:
+    """Files arriving in the intake folder, ``_`` names included; half-written ones are hidden by name."""
+    return intake_rules(folder_stream(spark, folder, settle_ms).drop("depth"))
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

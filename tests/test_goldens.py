@@ -444,7 +444,7 @@ def test_folder_sources(spark, tmp_path):
         f.write_bytes(b"x")
     assert sorted(r.name for r in sources.import_folder(spark, str(tmp_path)).collect()) == ["scan-a.pdf", "scan-b.pdf"]
     assert [r.name for r in sources.raw_catalog(spark, str(tmp_path)).collect()] == ["scan-a.pdf"]
-    got = jobs.drain(jobs.intake_stream(spark, str(tmp_path)), "intake")
+    got = jobs.drain(jobs.intake_stream(spark, str(tmp_path), settle_ms=0), "intake")
     assert {(r.name, r.reason) for r in got.collect()} == {("scan-a.pdf", None), ("notiz.txt", "unknown ending")}
 
 
