@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .. import inputs as i
 from ..operators import bilevel, binarize, raster
 from .views import sql
@@ -71,6 +73,18 @@ def q_page_qa(spark, d):
         "n_colours")
 
 
+def q_page_qa_approx(spark, d):
+    """Exact shares beside sketched colours; with at most 256 colours a page the sketch still counts."""
+    return raster.page_qa_approx(i.as_rgb(i.text_lines(spark, d))).selectExpr(
+        "doc_id", "page_no", *[f"round({c}, 6) AS {c}" for c in ("black60", "black128", "white230", "nonwhite245", "coloured")], "n_colours")
+
+
+def q_document_colours(spark, d):
+    """Colours of ten texts together, from the sketches of their pages."""
+    qa = raster.page_qa_approx(i.as_rgb(i.text_lines(spark, d)).withColumn("doc_id", F.expr("doc_id div 10")).withColumn("page_no", F.expr("y % 7")))
+    return raster.colours_of(qa, "doc_id")
+
+
 def q_region_qa(spark, d):
     regions = i.table(spark, d, "documents").selectExpr(
         "doc_id", "1 AS page_no",
@@ -124,7 +138,7 @@ def q_raster_diff(spark, d):
 QUERIES = {
     "luminance": q_luminance, "block_stats": q_block_stats, "block_stats_embed": q_block_stats_embed,
     "block_smooth": q_block_smooth, "dark_page_policy": q_dark, "background_at": q_background, "binarize": q_binarize,
-    "binarize_invert": q_binarize_invert, "page_qa": q_page_qa, "page_qa_regions": q_region_qa,
+    "binarize_invert": q_binarize_invert, "page_qa": q_page_qa, "page_qa_approx": q_page_qa_approx, "document_colours": q_document_colours, "page_qa_regions": q_region_qa,
     "changing_elements": q_changes, "pixel_runs": q_runs, "run_code_bits": q_run_bits, "pack_bits": q_pack_bits,
     "g4_line_bits": q_g4, "deflate_size": q_deflate, "page_codec_choice": q_page_codec, "raster_diff": q_raster_diff,
 }
@@ -207,6 +221,8 @@ FROM lum GROUP BY ALL""", "t_gray", rgb=_RGB, lum=_LUM),
     "binarize_invert": sql(_bw("""CASE WHEN m >= 110 THEN g < least(m - 15, 210) WHEN sd < 8.6 THEN false
   ELSE g < least(greatest(m + 66, m + 20), 165) END"""), "t_gray", **_CHAIN),
     "page_qa": sql(f"SELECT doc_id, page_no, {_QA} FROM lum GROUP BY ALL", "t_gray", rgb=_RGB, lum=_LUM),
+    "page_qa_approx": sql(f"SELECT doc_id, page_no, {_QA} FROM lum GROUP BY ALL", "t_gray", rgb=_RGB, lum=_LUM),
+    "document_colours": sql("SELECT doc_id // 10 AS doc_id, count(DISTINCT r * 65536 + g * 256 + b) AS n_colours FROM rgb GROUP BY ALL", "t_gray", rgb=_RGB),
     "page_qa_regions": sql(f"""SELECT doc_id, page_no, region, {_QA} FROM lum,
   (VALUES ('left', 0, 0, 20, 1000000), ('box', 10, 0, 50, 3)) q(region, rx0, ry0, rx1, ry1)
 WHERE x >= rx0 AND x < rx1 AND y >= ry0 AND y < ry1 GROUP BY doc_id, page_no, region""", "t_gray", rgb=_RGB, lum=_LUM),

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed import A4_LONG_PT, A4_SHORT_PT
 from ..folds import ordered_fold
 from ..functions import text as t
+from ..functions.cells import box_cells, fine_cells, point_cells
 from ..keys import ordered_index, running_total, with_neighbour
 from .raster import PAGE
 
-BAND = 64  # height in points of the strips geometric joins are keyed by
-
 
 def text_extent(objects: DataFrame) -> DataFrame:
     return objects.withColumns({"text_w": F.expr(t.extent_w("text", "size")), "text_h": F.expr(t.extent_h("text", "size"))})
@@ -122,26 +121,20 @@ def merge_ink(strokes: DataFrame, chunk: int = 4096) -> DataFrame:
     )
 
 
-def _bands(df: DataFrame, top: str, bottom: str) -> DataFrame:
-    return df.withColumn(
-        "_band", F.explode(F.expr(f"sequence(CAST(floor(({top}) / {BAND}) AS INT), CAST(floor(({bottom}) / {BAND}) AS INT))"))
-    )
-
-
 def objects_at_points(points: DataFrame, objects: DataFrame, pad: float) -> DataFrame:
     """Topmost object under each point; ink is never hit.
 
-    Objects are keyed by the horizontal bands they reach, so a crowded page is
-    split by height, and the best hit is a combined aggregate.
+    Objects lie in four cells at most of a grid that fits their size, and a point looks into its cell of each
+    grid, so that what it is compared with does not grow with the page. The best hit is a combined aggregate.
     """
     boxes = text_extent(objects.where("type <> 'ink'")).selectExpr(
         *PAGE, "z",
         f"CASE WHEN type = 'text' THEN x - 2 ELSE x END - {pad} AS bx0", f"CASE WHEN type = 'text' THEN y - 2 ELSE y END - {pad} AS by0",
         f"CASE WHEN type = 'text' THEN x - 2 + text_w + 6 ELSE x + w END + {pad} AS bx1",
         f"CASE WHEN type = 'text' THEN y - 2 + text_h + 4 ELSE y + h END + {pad} AS by1",
-    )
-    probes = points.withColumn("_band", F.expr(f"CAST(floor(py / {BAND}) AS INT)"))
-    hits = probes.join(_bands(boxes, "by0", "by1"), [*PAGE, "_band"]).where(
+    ).withColumn("_cell", F.explode(F.expr(box_cells("bx0", "by0", "bx1", "by1"))))
+    probes = points.withColumn("_cell", F.explode(F.expr(point_cells("px", "py"))))
+    hits = probes.join(boxes, [*PAGE, "_cell"]).where(
         "px >= bx0 AND px <= bx1 AND py >= by0 AND py <= by1"
     ).groupBy(*PAGE, "point_id").agg(F.max("z").alias("hit_z"))
     return points.join(hits, [*PAGE, "point_id"], "left")
@@ -150,25 +143,24 @@ def objects_at_points(points: DataFrame, objects: DataFrame, pad: float) -> Data
 def erase_ink(points: DataFrame, erasers: DataFrame, radius: float = 8) -> DataFrame:
     """Stroke points that remain: a stroke touched by an eraser goes as a whole.
 
-    Semi joins on bands stop at the first touch; nothing is paired up.
+    A stroke is walked point by point: each stands in the cells that its reach touches, and a semi
+    join on cells stops at the first touch; nothing is paired up.
     """
-    reach = _bands(points.withColumn("_r", F.expr(f"{radius} + width")), "y - _r", "y + _r")
-    probes = erasers.selectExpr(*PAGE, "x AS ex", "y AS ey", f"CAST(floor(y / {BAND}) AS INT) AS _band")
-    cond = [
-        reach["doc_id"] == probes["doc_id"], reach["page_no"] == probes["page_no"], reach["_band"] == probes["_band"],
-        F.expr("(x - ex) * (x - ex) + (y - ey) * (y - ey) < _r * _r"),
-    ]
+    reach = points.withColumn("_r", F.expr(f"{radius} + width")).withColumn("_cell", F.explode(F.expr(box_cells("x - _r", "y - _r", "x + _r", "y + _r"))))
+    probes = erasers.selectExpr("doc_id AS _d", "page_no AS _p", "x AS ex", "y AS ey", f"explode({point_cells('x', 'y')}) AS _at")
+    cond = F.expr("doc_id = _d AND page_no = _p AND _cell = _at AND (x - ex) * (x - ex) + (y - ey) * (y - ey) < _r * _r")
     gone = reach.join(probes, cond, "left_semi").select(*PAGE, "stroke_id").distinct()
     return points.join(gone, [*PAGE, "stroke_id"], "left_anti")
 
 
 def redact_words(words: DataFrame, rects: DataFrame) -> DataFrame:
-    """Words no redaction box overlaps (rects: rx, ry, rw, rh)."""
-    w, r = _bands(words, "y0", "y1"), _bands(rects, "ry", "ry + rh").withColumnsRenamed({"doc_id": "_d", "page_no": "_p", "_band": "_b"})
-    cond = [
-        F.col("doc_id") == F.col("_d"), F.col("page_no") == F.col("_p"), F.col("_band") == F.col("_b"),
-        F.expr("x0 < rx + rw AND x1 > rx AND y0 < ry + rh AND y1 > ry"),
-    ]
+    """Words no redaction box overlaps (rects: rx, ry, rw, rh).
+
+    Words and boxes meet in the cells of one grid that both cover: a word is compared with the boxes around it.
+    """
+    w = words.withColumn("_cell", F.explode(F.expr(fine_cells("x0", "y0", "x1", "y1"))))
+    r = rects.withColumn("_at", F.explode(F.expr(fine_cells("rx", "ry", "rx + rw", "ry + rh")))).withColumnsRenamed({"doc_id": "_d", "page_no": "_p"})
+    cond = F.expr("doc_id = _d AND page_no = _p AND _cell = _at AND x0 < rx + rw AND x1 > rx AND y0 < ry + rh AND y1 > ry")
     hit = w.join(r, cond, "left_semi").select(*PAGE, "idx").distinct()
     return words.join(hit, [*PAGE, "idx"], "left_anti")
 
