@@ -13,6 +13,7 @@ from ..functions import text as t
 from ..functions.cells import box_cells, fine_cells, point_cells
 from ..keys import ordered_index, running_total, with_neighbour
 from .raster import PAGE
+from .strokes import simplify_stroke
 
 
 def text_extent(objects: DataFrame) -> DataFrame:
@@ -45,31 +46,6 @@ def normalize_strokes(points: DataFrame, key: str = "sig_id") -> DataFrame:
     )
 
 
-class _Simplify:
-    def __init__(self, least: float):
-        self.least, self.kept, self.pending = least, None, None
-
-    def step(self, row):
-        point = (row.seq, row.x, row.y)
-        self.pending = None
-        if self.kept is None or math.sqrt((row.x - self.kept[1]) ** 2 + (row.y - self.kept[2]) ** 2) >= self.least:
-            self.kept = point
-            return [point]
-        self.pending = point
-        return []
-
-    def finish(self):
-        return [self.pending] if self.pending else []
-
-
-def simplify_stroke(points: DataFrame, least: float = 1.2) -> DataFrame:
-    """Keep a point when it is far enough from the last kept one; the last point always stays."""
-    return ordered_fold(
-        points.select("stroke_id", "seq", "x", "y"), ["stroke_id"], ["seq"], lambda: _Simplify(least),
-        "seq int, x double, y double",
-    )
-
-
 def smooth_stroke(points: DataFrame, least: float = 1.2, chunk: int = 65536) -> DataFrame:
     """Curve segments of each stroke as path text, one row a segment.
 
