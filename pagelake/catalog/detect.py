@@ -186,6 +186,52 @@ FROM (SELECT *, x1 - x0 >= 0.55 AND y1 - y0 >= 0.55 AS ok FROM (
   SELECT doc_id, page_no, max(edge / n) FILTER (side = 'left') AS x0, max(edge / n) FILTER (side = 'top') AS y0,
     max((n - edge) / n) FILTER (side = 'right') AS x1, max((n - edge) / n) FILTER (side = 'bottom') AS y1 FROM edges GROUP BY ALL))""",
         "t_gray", sized=_SMALL, **{**_EDGE_CHAIN, "prof": _profiles("sized")}),
+    # Runs take the least label of the runs they touch until none changes.
+    "largest_component": """
+WITH RECURSIVE t AS (
+  SELECT doc_id, CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '(?s).{1,64}') END AS l FROM documents),
+ line AS (SELECT doc_id, y, list_transform(range(64), lambda x: CASE WHEN x < length(line) AND unicode(substring(line, CAST(x AS INT) + 1, 1)) % 256 < 105 THEN 1 ELSE 0 END) AS m
+          FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS y FROM t)),
+ starts AS (SELECT doc_id, y, unnest(list_filter(range(64), lambda i: m[i + 1] = 1 AND (i = 0 OR m[i] = 0))) AS x0, m FROM line),
+ runs AS MATERIALIZED (SELECT doc_id, y, x0, x0 + coalesce(nullif(list_position(m[x0 + 1:], 0), 0), 65 - x0) - 1 AS x1, y * 100 + x0 AS id FROM starts),
+ links AS MATERIALIZED (
+  SELECT a.doc_id, a.id AS a, b.id AS b FROM runs a JOIN runs b ON b.doc_id = a.doc_id AND b.y = a.y + 1 AND b.x0 < a.x1 AND a.x0 < b.x1
+  UNION ALL SELECT a.doc_id, b.id, a.id FROM runs a JOIN runs b ON b.doc_id = a.doc_id AND b.y = a.y + 1 AND b.x0 < a.x1 AND a.x0 < b.x1),
+ -- first inside strips of 32 lines, then between the strips' labels: far fewer rounds than lines
+ inside(doc_id, id, l) USING KEY (doc_id, id) AS (
+  SELECT doc_id, id, id FROM runs
+  UNION
+  SELECT n.doc_id, n.b, min(w.l) FROM inside w JOIN links n ON n.doc_id = w.doc_id AND n.a = w.id AND n.a // 3200 = n.b // 3200
+  JOIN recurring.inside r ON r.doc_id = n.doc_id AND r.id = n.b WHERE w.l < r.l GROUP BY n.doc_id, n.b),
+ part AS MATERIALIZED (SELECT * FROM inside),
+ meet AS MATERIALIZED (SELECT DISTINCT n.doc_id, p.l AS a, q.l AS b FROM links n JOIN part p ON p.doc_id = n.doc_id AND p.id = n.a JOIN part q ON q.doc_id = n.doc_id AND q.id = n.b
+  WHERE n.a // 3200 <> n.b // 3200),
+ across(doc_id, id, l) USING KEY (doc_id, id) AS (
+  SELECT DISTINCT doc_id, l, l FROM part
+  UNION
+  SELECT n.doc_id, n.b, min(w.l) FROM across w JOIN meet n ON n.doc_id = w.doc_id AND n.a = w.id
+  JOIN recurring.across r ON r.doc_id = n.doc_id AND r.id = n.b WHERE w.l < r.l GROUP BY n.doc_id, n.b),
+ label AS MATERIALIZED (SELECT p.doc_id, p.id, w.l FROM part p JOIN across w ON w.doc_id = p.doc_id AND w.id = p.l),
+ area AS (SELECT doc_id, l, sum(x1 - x0) AS area FROM label JOIN runs USING (doc_id, id) GROUP BY ALL),
+ best AS (SELECT doc_id, arg_max(l, area * 10000000 - l) AS l, max(area) AS area FROM area GROUP BY doc_id),
+ n AS (SELECT r.doc_id, r.y, sum(x1 - x0) AS n FROM label k JOIN best USING (doc_id, l) JOIN runs r ON r.doc_id = k.doc_id AND r.id = k.id GROUP BY ALL)
+SELECT line.doc_id, 1 AS page_no, CAST(line.y AS INT) AS y, CAST(coalesce(best.area, 0) AS BIGINT) AS area, CAST(coalesce(n.n, 0) AS BIGINT) AS n
+FROM line LEFT JOIN best USING (doc_id) LEFT JOIN n ON n.doc_id = line.doc_id AND n.y = line.y
+""",
+    # A corner is a column's least or greatest line that no chord between those of other columns covers.
+    "convex_hull": sql("""
+SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY half, CASE WHEN half = 0 THEN x ELSE -x END) - 1 AS INT) AS pos, x, y
+FROM corner""", "t_gray", ink="""
+SELECT doc_id, page_no, x, min(y) AS lo, max(y) AS hi FROM t_gray WHERE g < 105 GROUP BY doc_id, page_no, x""",
+        span="SELECT doc_id, min(x) AS x0, max(x) AS x1 FROM ink GROUP BY doc_id",
+        side="""
+SELECT doc_id, page_no, x, lo AS y, 0 AS half FROM ink UNION ALL
+SELECT i.doc_id, page_no, x, hi, 1 FROM ink i JOIN span s ON s.doc_id = i.doc_id WHERE NOT (lo = hi AND x IN (x0, x1))""",
+        corner="""
+SELECT p.* FROM side p WHERE NOT EXISTS (
+  SELECT 1 FROM ink a JOIN ink b ON b.doc_id = a.doc_id AND b.x > a.x
+  WHERE a.doc_id = p.doc_id AND a.x < p.x AND b.x > p.x AND CASE WHEN p.half = 0
+    THEN (b.x - a.x) * (p.y - a.lo) - (b.lo - a.lo) * (p.x - a.x) >= 0 ELSE (b.x - a.x) * (p.y - a.hi) - (b.hi - a.hi) * (p.x - a.x) <= 0 END)"""),
     "boundary_points": sql("""
 SELECT a.doc_id, a.page_no, a.x, a.y FROM ink a WHERE (SELECT count(*) FROM ink b WHERE b.doc_id = a.doc_id
   AND ((b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1))) < 4""", "t_gray",
