@@ -164,6 +164,25 @@ SELECT vec_id AS doc_id, k, CAST(floor(CAST(embedding[2 * k + 1] AS DOUBLE) * 10
   CAST(floor(CAST(embedding[2 * k + 2] AS DOUBLE) * 1000) AS INT) AS y FROM embeddings, range(0, 32) t(k)"""
 _SUB = "SELECT v.doc_id, pos, x, y FROM vec v JOIN range(0, 28) s(pos) ON v.k = (pos * 32) // 28"
 
+def _area(i, j, k):
+    return f"((x{j} - x{i}) * (y{k} - y{i}) - (x{k} - x{i}) * (y{j} - y{i}))"
+
+
+# Every target pixel of 12 x 10 through the map of the quad, bilinear between four source pixels.
+_WARP = f"""
+SELECT doc_id, 1 AS page_no, CAST(j AS INT) AS y, CAST(sum(p * (i + 1)) AS BIGINT) AS checksum, CAST(sum(p) AS BIGINT) AS total
+FROM (SELECT doc_id, i, j, CAST(round_even((s[b * 8 + a + 1] * (1 - fx) + s[b * 8 + least(a + 1, 7) + 1] * fx) * (1 - fy)
+        + (s[least(b + 1, 7) * 8 + a + 1] * (1 - fx) + s[least(b + 1, 7) * 8 + least(a + 1, 7) + 1] * fx) * fy, 0) AS BIGINT) AS p
+  FROM (SELECT *, CAST(floor(x) AS BIGINT) AS a, CAST(floor(y) AS BIGINT) AS b, x - floor(x) AS fx, y - floor(y) AS fy
+    FROM (SELECT doc_id, s, i, j, greatest(0, least(7, (ca * u + cb * v + x0) / (cg * u + ch * v + 1))) AS x, greatest(0, least(7, (cd * u + ce * v + y0) / (cg * u + ch * v + 1))) AS y
+      FROM (SELECT *, w1 * x1 - x0 AS ca, w3 * x3 - x0 AS cb, w1 * y1 - y0 AS cd, w3 * y3 - y0 AS ce, w1 - 1 AS cg, w3 - 1 AS ch
+        FROM (SELECT *, {_area(0, 3, 2)} / nullif({_area(1, 3, 2)}, 0) AS w1, {_area(1, 0, 2)} / nullif({_area(1, 3, 2)}, 0) AS w3
+          FROM (SELECT vec_id AS doc_id, (0.1::DOUBLE + abs(embedding[1]::DOUBLE)) * 7 AS x0, 0.1::DOUBLE * 7 AS y0, 0.9::DOUBLE * 7 AS x1, abs(embedding[2]::DOUBLE) * 7 AS y1,
+              (1::DOUBLE - abs(embedding[3]::DOUBLE)) * 7 AS x2, 0.95::DOUBLE * 7 AS y2, 0.05::DOUBLE * 7 AS x3, (1::DOUBLE - abs(embedding[4]::DOUBLE)) * 7 AS y3
+            FROM embeddings)) q) m JOIN page USING (doc_id),
+        (SELECT i, i / 11::DOUBLE AS u FROM range(12) r(i)), (SELECT j, j / 9::DOUBLE AS v FROM range(10) r(j)))))
+GROUP BY doc_id, j"""
+
 SQL = {
     "otsu": sql("""
 SELECT doc_id, page_no, CAST(coalesce(arg_min(v, v) FILTER (score = best AND best > 0), 127) AS INT) AS threshold
@@ -218,6 +237,7 @@ WITH RECURSIVE t AS (
 SELECT line.doc_id, 1 AS page_no, CAST(line.y AS INT) AS y, CAST(coalesce(best.area, 0) AS BIGINT) AS area, CAST(coalesce(n.n, 0) AS BIGINT) AS n
 FROM line LEFT JOIN best USING (doc_id) LEFT JOIN n ON n.doc_id = line.doc_id AND n.y = line.y
 """,
+    "warp_perspective": sql(_WARP, "e_gray", page="SELECT doc_id, list(g ORDER BY y, x) AS s FROM e_gray GROUP BY doc_id"),
     # A corner is a column's least or greatest line that no chord between those of other columns covers.
     "convex_hull": sql("""
 SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY half, CASE WHEN half = 0 THEN x ELSE -x END) - 1 AS INT) AS pos, x, y
