@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from .. import inputs as i
-from ..operators import assemble, attempts
+from ..operators import assemble, attempts, profile
 from ..plans import chains
 from ..session import local_path, scratch_path
 from ..sinks import files as sinks
@@ -148,10 +148,21 @@ def q_profile_write(spark, d):
     return sources.profile_snapshot(spark, out)
 
 
-def q_profile_import(spark, d):
+def _imported(spark, d):
     docs = q_export(spark, d).withColumn(
         "document", F.expr("""CASE owner % 5 WHEN 0 THEN replace(document, '"app":"pagelake"', '"app":"other"') WHEN 1 THEN replace(document, '"signatures"', '"sigs"') ELSE document END"""))
-    return sources.profile_parse(docs, "pagelake").select("owner", "reason", "n_signatures")
+    return sources.profile_parse(docs, "pagelake")
+
+
+def q_profile_import(spark, d):
+    return _imported(spark, d).select("owner", "reason", "n_signatures")
+
+
+def q_profile_replace(spark, d):
+    stored = i.table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr(
+        "c_custkey AS owner", "explode(array('signatures', 'stamps', 'settings')) AS key", "'old' AS value")
+    now, _ = profile.profile_replace(stored, _imported(spark, d))
+    return now.selectExpr("owner", "key", "value = 'old' AS kept")
 
 
 def _png(g) -> bytes:
@@ -242,7 +253,7 @@ QUERIES = {
     "debounced_profile": q_debounce, "coalesced_requests": q_requests, "collapse_pending": q_pending,
     "intake_stream": q_intake_stream, "scan_batch_collector": q_collector, "newest_frames": q_frames,
     "frame_corners": q_frame_corners, "frame_corner_stream": q_frame_stream, "handoff": q_handoff, "auto_handoff_stream": q_handoff_stream, "raw_drop": q_raw_drop,
-    "save_results": q_save, "profile_write": q_profile_write, "profile_import": q_profile_import,
+    "save_results": q_save, "profile_write": q_profile_write, "profile_import": q_profile_import, "profile_replace": q_profile_replace,
     "page_images": q_page_images, "import_folder": q_import_folder, "assemble_documents": q_assemble,
 }
 
@@ -317,6 +328,10 @@ FROM arr LEFT JOIN have ON 'Akte_' || h = stem""",
     "profile_write": f"SELECT * FROM ({PROFILE_SQL['profile_export']}) WHERE owner % 7 <> 0",
     "profile_import": f"""SELECT owner, CASE owner % 5 WHEN 0 THEN 'wrong application' WHEN 1 THEN 'no signatures' END AS reason,
   CAST(CASE WHEN owner % 5 > 1 THEN n END AS INT) AS n_signatures FROM ({_EXPORT})""",
+    "profile_replace": f"""
+WITH imp AS (SELECT owner FROM ({_EXPORT}) WHERE owner % 5 > 1), k AS (SELECT * FROM (VALUES ('signatures'), ('stamps'), ('settings')) v(key))
+SELECT owner, key, false AS kept FROM imp, k UNION ALL
+SELECT c_custkey, key, true FROM customer, k WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT owner FROM imp)""",
     "page_images": sql("""SELECT doc_id, y, CAST(sum(g) AS INT) AS total, 8 AS src_w, 8 AS src_h FROM e_gray WHERE doc_id % 50 <> 0 GROUP BY doc_id, y""", "e_gray"),
     "import_folder": """SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.pdf' ELSE '.PDF' END AS name, strlen(html) AS bytes, CAST(page_id % 5 AS INT) AS depth
 FROM pages WHERE page_id % 3 < 2 AND page_id % 5 <= 2""",

@@ -77,3 +77,17 @@ def profile_export(
             F.lit(app).alias("app"), F.lit(1).alias("version"), F.lit(exported).alias("exported"),
             "signatures", "stamps", "settings")).alias("document"),
     )
+
+
+def profile_replace(stored: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles after an import, signatures taken over by owner).
+
+    ``stored``: owner, key, value as JSON text. ``imported``: parsed exports with their owner, one an owner, as
+    ``profile_parse`` gives them. An accepted one replaces all three keys of its owner, whatever was
+    stored; a refused one changes nothing, and neither do owners without one.
+    """
+    good = imported.where("reason IS NULL")
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("signatures", "stamps", "settings")])
+    new = good.select("owner", F.explode(entries).alias("_e")).select("owner", "_e.key", "_e.value")
+    kept = stored.join(good.select("owner"), "owner", "left_anti").select("owner", "key", "value")
+    return kept.unionByName(new), good.select("owner", "n_signatures")

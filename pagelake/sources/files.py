@@ -39,16 +39,22 @@ def _to_lines(max_edge: int):
                 for lo in range(0, h, 256):
                     part = img[lo:lo + 256]
                     yield pd.DataFrame({
-                        "name": row.name, "path": row.path, "src_w": row.width, "src_h": row.height, "y": np.arange(lo, lo + len(part)),
+                        "name": row.name, "path": row.path, "src_w": row.width, "src_h": row.height,
+                        "scan_dpi": pd.array([None if pd.isna(row.scan_dpi) else int(row.scan_dpi)] * len(part), "Int32"), "y": np.arange(lo, lo + len(part)),
                         "r": list(part[:, :, 2]), "g": list(part[:, :, 1]), "b": list(part[:, :, 0]),
                     })
 
     return run
 
 
-def page_images(spark: SparkSession, folder: str, max_edge: int = IMPORT_MAX_EDGE) -> tuple[DataFrame, DataFrame]:
+def page_images(
+    spark: SparkSession, folder: str, max_edge: int = IMPORT_MAX_EDGE, resolutions: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(RGB scanlines, rejected files) of the images in a folder tree; the path tells equal names apart.
 
+    Lines keep the image's own size and, from ``resolutions`` (name, scan_dpi, each name once), the
+    resolution it was scanned at, as ``bed_a4`` needs them; null where it is not known.
+
     Unreadable images and formats without a decoder are reported, not fatal.
     """
     src = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
@@ -56,8 +62,10 @@ def page_images(spark: SparkSession, folder: str, max_edge: int = IMPORT_MAX_EDG
         "regexp_extract(image.origin, '([^/]*)$', 1) AS name", "image.origin AS path", "image.width AS width", "image.height AS height",
         "image.nChannels AS channels", "image.data AS data",
     ).where(F.col("name").rlike(IMPORT_ENDING))
-    lines = flat.where("width > 0").mapInPandas(
-        _to_lines(max_edge), "name string, path string, src_w int, src_h int, y int, r array<int>, g array<int>, b array<int>"
+    known = flat.withColumn("scan_dpi", F.lit(None).cast("int")) if resolutions is None else flat.join(
+        resolutions.select("name", F.col("scan_dpi").cast("int").alias("scan_dpi")), "name", "left")
+    lines = known.where("width > 0").mapInPandas(
+        _to_lines(max_edge), "name string, path string, src_w int, src_h int, scan_dpi int, y int, r array<int>, g array<int>, b array<int>"
     )
     return lines, flat.where("width <= 0").selectExpr("name", "path", "'unreadable' AS reason")
 

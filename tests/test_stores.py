@@ -153,3 +153,30 @@ def test_small_files_are_replaced_in_one_step(tmp_path):
     for text in ("one", "two"):
         stores.replace_text(f"file:{tmp_path}/CURRENT", text)
         assert stores.read_text(f"{tmp_path}/CURRENT") == text and os.listdir(tmp_path) == ["CURRENT"]
+
+
+def test_images_keep_their_scan_resolution(spark, tmp_path):
+    from pagelake.catalog.flow import _png
+    from pagelake.sources import files as sources
+
+    for name in ("a.png", "b.png"):
+        (tmp_path / name).write_bytes(_png(list(range(64))))
+    (tmp_path / "c.png").write_bytes(b"broken")
+    dpi = spark.createDataFrame([("a.png", 300), ("c.png", 150)], "name string, scan_dpi int")
+    lines, refused = sources.page_images(spark, str(tmp_path), resolutions=dpi)
+    assert {(r.name, r.scan_dpi, r.src_w, r.src_h) for r in lines.collect()} == {("a.png", 300, 8, 8), ("b.png", None, 8, 8)}
+    assert [(r.name, r.reason) for r in refused.collect()] == [("c.png", "unreadable")]
+    assert {r.scan_dpi for r in sources.page_images(spark, str(tmp_path))[0].collect()} == {None}
+
+
+def test_an_import_replaces_the_whole_profile(spark):
+    from pagelake.operators import profile
+    from pagelake.sources import files as sources
+
+    docs = [(1, '{"app":"x","signatures":[{"id":"a"}],"stamps":[],"settings":{"p":1}}'), (2, '{"app":"other","signatures":[]}'), (3, '{"app":"x","signatures":[]}')]
+    stored = [(1, "signatures", "[9]"), (1, "more", "old"), (2, "settings", "{}"), (4, "stamps", "[4]")]
+    now, taken = profile.profile_replace(spark.createDataFrame(stored, "owner long, key string, value string"),
+                                         sources.profile_parse(spark.createDataFrame(docs, "owner long, document string"), "x"))
+    assert {tuple(r) for r in now.collect()} == {(1, "signatures", '[{"id":"a"}]'), (1, "stamps", "[]"), (1, "settings", '{"p":1}'), (2, "settings", "{}"),
+                                                 (3, "signatures", "[]"), (3, "stamps", "[]"), (3, "settings", "{}"), (4, "stamps", "[4]")}
+    assert {tuple(r) for r in taken.collect()} == {(1, 1), (3, 0)}
