@@ -11,11 +11,11 @@ lost executors are its matter, in whatever store the path names.
 Reading back gives each document's start, the ids of all documents before it in
 the files, from file totals and positions inside a file.
 
-Encoding uses the tokenizers library on whole texts. As its splitter never joins
-a space that stands between two non-space characters to what is left of it, a
-text is encoded as its stretches between such spaces, and the ids of a stretch
-are kept for the next time it occurs; a text with any other white space next to
-a space is encoded in one piece.
+Encoding uses the tokenizers library on whole texts. Where its splitter is the usual one of byte-level
+vocabularies, it never joins a space that stands between two non-space characters to what is
+left of it; then the texts of a batch are cut into the stretches between such spaces, every different stretch
+is looked up once a batch, and its ids are kept for the next time it occurs. A text with any other
+white space next to a space, and every text under another splitter, is encoded in one piece.
 
 Defined results: null and empty texts have the end id alone. Null doc_ids come
 first; rows that repeat a doc_id follow each other in the order of their text's
@@ -24,24 +24,28 @@ hash. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import json
 from array import array
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelake.session import scratch_path
 from .ranks import before_in_order
-from .words import list_column, map_batches
+from .words import map_batches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 20_000
 # ASCII marks, without the apostrophe.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Stretches a worker remembers in one generation; it keeps the one before, too.
-REMEMBERED = 400_000
+#: Words and other stretches a worker remembers in one generation; it keeps the one before, too.
+REMEMBERED = 250_000
+#: Bytes of text that are cut into stretches at a time, about.
+SLICE_BYTES = 3 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -71,21 +75,26 @@ class _Stretches(dict):
         self.encoder, self.space, self.before = encoder, space, {}
 
     def __missing__(self, part: str) -> bytes | None:
-        if len(self) >= REMEMBERED:  # what is asked for again comes back from the generation before
-            self.before = dict(self)
-            self.clear()
-        ids = self.before.get(part)
+        ids, word = self.before.get(part), part[:-1]
         if ids is None:
-            word = part[:-1]
             if part.isalpha():
                 ids = self.encoder.word(self.space, part)
-            elif word.isalpha() and part[-1] in MARKS:
-                ids = self[word] + self.encoder.marks[part[-1]]
+            elif part[-1:] in MARKS and word.isalpha():
+                return self[word] + self.encoder.marks[part[-1]]  # put together again each time, so that words alone fill the memory
+            elif "\n" in part:
+                return self.found(part)
             else:
                 ids = self.found(part)
+        if len(self) >= REMEMBERED:
+            self.turn()
         self[part] = ids
         return ids
 
+    def turn(self) -> None:
+        """Begin a generation; what is asked for again comes back from the one before."""
+        self.before = dict(self)
+        self.clear()
+
     def found(self, part: str) -> bytes | None:
         if part[-1:].isspace() or (self.space and (not part or part[0].isspace())):
             return None
@@ -105,12 +114,20 @@ def _joined(*parts: bytes | None) -> bytes | None:
 
 
 class Encoder:
-    """Whole texts to ids, as little-endian unsigned 32-bit integers."""
+    """Whole texts to ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        split = made.get("pre_tokenizer") or {}
+        #: Whether stretches between spaces can be encoded apart.
+        self.apart = made.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space")
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids whose spelling begins with a space.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(byte_letters()[32])]] = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end, self.marks = self.whole("\n"), {m: self.whole(m) for m in MARKS}
@@ -131,12 +148,73 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        head, *tail = text.split(" ")
-        parts = list(map(self.rest.get, tail))
-        if None in parts:  # get() is several times faster than a lookup that may encode
-            parts = [self.rest[t] if p is None else p for p, t in zip(parts, tail)]
-        parts.insert(0, self.first[head])
-        return self.whole(text) if None in parts else b"".join(parts)
+        """Ids of one text, as little-endian unsigned 32-bit integers."""
+        ids, _ = self.batch(pa.array([text]), 0)
+        return ids[:-1].astype("<u4").tobytes()
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode the words among these stretches that are not known yet, all in one call.
+
+        A word's first id is the only one that spells a space, which tells the words apart.
+        """
+        known, before, fresh = self.rest, self.rest.before, {}
+        for part in parts:
+            if part not in known:
+                word = part if part.isalpha() else part[:-1] if part[-1:] in MARKS else ""
+                if word.isalpha() and word not in known and word not in before:
+                    fresh[word] = None
+        if not fresh:
+            return
+        data = self.whole(" " + " ".join(fresh))
+        starts = 4 * np.flatnonzero(self.spaced[np.frombuffer(data, "<u4")])
+        if len(known) + len(fresh) >= REMEMBERED:
+            known.turn()
+        for word, a, b in zip(fresh, starts.tolist(), [*starts[1:].tolist(), len(data)]):
+            known[word] = data[a:b]
+
+    def in_pieces(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts cut at every space: all ids one after another, the number of ids of each text, and where it cannot be told like this."""
+        starts = lists.offsets.to_numpy()[:-1]
+        coded = lists.values.dictionary_encode()
+        parts, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        head = np.zeros(len(code), bool)
+        head[starts] = True  # a text has one stretch at least
+        found, piece = [], np.empty(len(code), np.int64)
+        for at, table in ((head, self.first), (~head, self.rest)):
+            kinds, place = np.unique(code[at], return_inverse=True)
+            piece[at] = place + len(found)
+            asked = [parts[k] for k in kinds]
+            if table is self.rest:
+                self.learn(asked)
+            found += [table[p] for p in asked]
+        unknown = np.array([ids is None for ids in found], bool)
+        ids = np.frombuffer(b"".join(i for i in found if i is not None), "<u4").astype(np.int32)
+        sizes = np.array([len(i) // 4 if i is not None else 0 for i in found], np.int64)
+        begin, size = (np.cumsum(sizes) - sizes)[piece], sizes[piece]
+        before = np.cumsum(size) - size
+        wide = np.int32 if size.sum() < 1 << 31 else np.int64
+        take = np.repeat((begin - before).astype(wide), size)
+        take += np.arange(len(take), dtype=wide)
+        flat = ids[take]
+        return flat, np.add.reduceat(size, starts), np.logical_or.reduceat(unknown[piece], starts)
+
+    def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts with ``end_id`` after each, and the number of ids of each text."""
+        texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.string())])
+        flat, sizes, whole = self.in_pieces(pc.split_pattern(texts, " ")) if self.apart else (np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.ones(len(texts), bool))
+        ends = np.cumsum(sizes)
+        if whole.any():
+            at = np.flatnonzero(whole)
+            parts = [flat[e - n : e] for e, n in zip(ends, sizes)]
+            for i, one in zip(at, self.tokenizer.encode_batch_fast(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)):
+                parts[i] = np.array(one.ids, np.int32)
+            flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        sizes = sizes + 1
+        out = np.full(sizes.sum(), end_id, np.int32)
+        mark = np.ones(len(out), bool)
+        mark[np.cumsum(sizes) - 1] = False
+        out[mark] = flat
+        return out, sizes
 
 
 @lru_cache(maxsize=2)
@@ -148,11 +226,12 @@ def encode(docs: DataFrame, path: str | None = None, name: str = TOKENIZER, end_
     """doc_id, n_tokens and tokens (with the end id) of every row, in the order of the rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, end = _encoder(path, name), np.array([end_id], "<u4").tobytes()
-        parts = [np.frombuffer(ids(t or "") + end, "<i4") for t in batch.column("text").to_pylist()]
+        texts, step = batch.column("text"), max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        parts = [_encoder(path, name).batch(texts.slice(at, step), end_id) for at in range(0, batch.num_rows, step)]
+        ids, sizes = (np.concatenate(p) for p in zip(*parts))
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(p) for p in parts], pa.int64()), list_column(parts, pa.int32())],
-            names=["doc_id", "n_tokens", "tokens"],
+            [batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(ids))], names=["doc_id", "n_tokens", "tokens"]
         )
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, tokens array<int>")

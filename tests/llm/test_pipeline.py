@@ -68,12 +68,12 @@ def test_run_and_empty_table(spark, data, tmp_path):
 def test_query(name, spark, sf):
     df = catalog.queries()[name](spark, sf)
     got = [tuple(r) for r in df.collect()]
-    kind = "pages" if re.match("op[78]_", name) else "documents"
-    if name not in ("op2_decontamination", "op9_passages"):
+    kind = "pages" if re.match("op(7|8|11)_", name) else "embeddings" if name.startswith("op13_") else "documents"
+    if name not in ("op2_decontamination", "op9_passages", "op12_search"):
         assert len(got) == spark.read.parquet(f"{sf}/{kind}.parquet").count()
     if name in catalog.checks():
         con = duckdb.connect()
-        for t in ("documents", "pages", "benchmark", "events"):
+        for t in ("documents", "pages", "benchmark", "events", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         cur = con.execute(catalog.checks()[name])
         columns = [d[0] for d in cur.description]
@@ -85,5 +85,5 @@ def test_numbers_and_entry():
     import __spark_entry__ as entry
 
     found = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries())
-    assert found == list(range(1, 11)) and catalog.checks().keys() <= catalog.queries().keys()
+    assert found == list(range(1, 14)) and catalog.checks().keys() <= catalog.queries().keys()
     assert catalog.queries().keys() | {"pipeline"} <= entry.queries().keys()

@@ -5,6 +5,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -114,6 +115,33 @@ def test_encoder_equals_the_library():
         assert e(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_batches_equal_the_library(monkeypatch):
+    """Odd texts together, with a memory so small that generations turn all the time."""
+    import random
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    e, rng = token_files.Encoder(token_files.tokenizer_path()), random.Random(6)
+    bits = [" ", "  ", "\n", " \n", "a", "Bc", "é", "ß", "12", "'s", ".", "!!", "_", "²", "ª", "日", "\x85", "<|endoftext|>", *(cases.prose(1, rng) for _ in range(80))]
+    for _ in range(30):
+        texts = [None, "", *("".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(60))]
+        ids, sizes = e.batch(pa.array(texts), 7)
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(texts, ends - sizes, ends):
+            assert ids[a:b].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 7], t
+
+
+def test_other_splitters_are_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(token_files.tokenizer_path())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    e, texts = token_files.Encoder(str(tmp_path / "other.json")), ["one two", "", "three  four five."]
+    assert not e.apart
+    for t in texts:
+        assert e(t) == np.array(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_files(spark):
     rows = cases.awkward_rows()
     path = scratch_path(spark, "tokens")
