@@ -32,6 +32,8 @@ def compress(
 
     def branch(mode: str) -> DataFrame:
         fitting = resample.sized_lines(lines, own.where(F.col("color_mode") == mode), ("bias",))
+        # Scanlines that are coarser than the target stay as they are: enlarging them adds nothing.
+        fitting = fitting.withColumns({"w_px": F.least("w_px", F.size("r")), "h_px": F.least("h_px", "h")})
         return resample.resample(fitting, ("r", "g", "b"), ("bias",))
 
     bits = binarize.binarize(
