@@ -102,6 +102,7 @@ def objects_at_points(points: DataFrame, objects: DataFrame, pad: float) -> Data
 
     Objects lie in four cells at most of a grid that fits their size, and a point looks into its cell of each
     grid, so that what it is compared with does not grow with the page. The best hit is a combined aggregate.
+    Both sides grow with the table and are larger than the planner's estimate, which does not count cells: no side is broadcast.
     """
     boxes = text_extent(objects.where("type <> 'ink'")).selectExpr(
         *PAGE, "z",
@@ -110,10 +111,10 @@ def objects_at_points(points: DataFrame, objects: DataFrame, pad: float) -> Data
         f"CASE WHEN type = 'text' THEN y - 2 + text_h + 4 ELSE y + h END + {pad} AS by1",
     ).withColumn("_cell", F.explode(F.expr(box_cells("bx0", "by0", "bx1", "by1"))))
     probes = points.withColumn("_cell", F.explode(F.expr(point_cells("px", "py"))))
-    hits = probes.join(boxes, [*PAGE, "_cell"]).where(
+    hits = probes.join(boxes.hint("merge"), [*PAGE, "_cell"]).where(
         "px >= bx0 AND px <= bx1 AND py >= by0 AND py <= by1"
     ).groupBy(*PAGE, "point_id").agg(F.max("z").alias("hit_z"))
-    return points.join(hits, [*PAGE, "point_id"], "left")
+    return points.join(hits.hint("merge"), [*PAGE, "point_id"], "left")
 
 
 def erase_ink(points: DataFrame, erasers: DataFrame, radius: float = 8) -> DataFrame:
@@ -125,8 +126,8 @@ def erase_ink(points: DataFrame, erasers: DataFrame, radius: float = 8) -> DataF
     reach = points.withColumn("_r", F.expr(f"{radius} + width")).withColumn("_cell", F.explode(F.expr(box_cells("x - _r", "y - _r", "x + _r", "y + _r"))))
     probes = erasers.selectExpr("doc_id AS _d", "page_no AS _p", "x AS ex", "y AS ey", f"explode({point_cells('x', 'y')}) AS _at")
     cond = F.expr("doc_id = _d AND page_no = _p AND _cell = _at AND (x - ex) * (x - ex) + (y - ey) * (y - ey) < _r * _r")
-    gone = reach.join(probes, cond, "left_semi").select(*PAGE, "stroke_id").distinct()
-    return points.join(gone, [*PAGE, "stroke_id"], "left_anti")
+    gone = reach.join(probes.hint("merge"), cond, "left_semi").select(*PAGE, "stroke_id").distinct()
+    return points.join(gone.hint("merge"), [*PAGE, "stroke_id"], "left_anti")
 
 
 def redact_words(words: DataFrame, rects: DataFrame) -> DataFrame:
@@ -137,8 +138,8 @@ def redact_words(words: DataFrame, rects: DataFrame) -> DataFrame:
     w = words.withColumn("_cell", F.explode(F.expr(fine_cells("x0", "y0", "x1", "y1"))))
     r = rects.withColumn("_at", F.explode(F.expr(fine_cells("rx", "ry", "rx + rw", "ry + rh")))).withColumnsRenamed({"doc_id": "_d", "page_no": "_p"})
     cond = F.expr("doc_id = _d AND page_no = _p AND _cell = _at AND x0 < rx + rw AND x1 > rx AND y0 < ry + rh AND y1 > ry")
-    hit = w.join(r, cond, "left_semi").select(*PAGE, "idx").distinct()
-    return words.join(hit, [*PAGE, "idx"], "left_anti")
+    hit = w.join(r.hint("merge"), cond, "left_semi").select(*PAGE, "idx").distinct()
+    return words.join(hit.hint("merge"), [*PAGE, "idx"], "left_anti")
 
 
 def form_fill(fields: DataFrame, values: DataFrame, flatten: bool = True) -> DataFrame:
