@@ -55,8 +55,9 @@ def q_pending(spark, d):
 
 
 def _stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of them: a pattern may name either, a plain path only a folder."""
     schema = i.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def q_intake_stream(spark, d):
