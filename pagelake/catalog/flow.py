@@ -320,11 +320,12 @@ SELECT camera, make_timestamp(t * 1000) AS tick, max(doc_id) AS doc_id
 FROM (SELECT doc_id, lang AS camera, (1704067200000 + doc_id * 60) // 350 * 350 AS t FROM documents) GROUP BY camera, t""",
     "handoff": _RECEIPTS,
     "auto_handoff_stream": _RECEIPTS,
-    "raw_drop": """
+    # As the names run out at 498 a stem, later arrivals take their stamp, which no other arrival has.
+    "raw_drop": f"""
 WITH arr AS (SELECT page_id, strlen(html) AS bytes, 'Akte_' || page_id % 40 AS stem, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS k
   FROM pages WHERE page_id % 31 <> 0), have AS (SELECT DISTINCT page_id % 7 AS h FROM pages)
-SELECT CASE WHEN h IS NULL THEN CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END ELSE stem || '_' || (k + 1) END || '.pdf' AS name, bytes
-FROM arr LEFT JOIN have ON 'Akte_' || h = stem""",
+SELECT CASE WHEN n = 1 THEN stem WHEN n <= 498 THEN stem || '_' || n ELSE stem || '_' || ({NOW} + page_id) END || '.pdf' AS name, bytes
+FROM (SELECT page_id, stem, bytes, CASE WHEN h IS NULL THEN k ELSE k + 1 END AS n FROM arr LEFT JOIN have ON 'Akte_' || h = stem)""",
     "save_results": """SELECT o_orderkey AS doc_id, o_orderkey || '.pdf' AS out_name, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderstatus <> 'P'""",
     "profile_write": f"SELECT * FROM ({PROFILE_SQL['profile_export']}) WHERE owner % 7 <> 0",
     "profile_import": f"""SELECT owner, CASE owner % 5 WHEN 0 THEN 'wrong application' WHEN 1 THEN 'no signatures' END AS reason,
