@@ -8,10 +8,10 @@ Each scanline then meets its block row once, on (page, block row).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.functions import pandas_udf
 
+from ..arrows import as_lists, bound_batches, flat, list_sizes, within
 from ..fixed import BLOCK
 from .raster import PAGE
 
@@ -89,19 +89,17 @@ def _grid_rows(smooth_rows: DataFrame, mode: str) -> DataFrame:
     ).withColumn("invert_dark", F.col("_dim") / F.col("_all") <= 0.22).drop("_dim", "_all")
 
 
-def _positions(n: int, block: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f = np.minimum(last, np.maximum(0.0, (np.arange(n) - block / 2) / block))
-    at = f.astype(np.int64)
-    return at, np.minimum(at + 1, last), f - at
-
-
-def _local_field(px, top, top_dev, low, low_dev, wy, block):
-    """Paper brightness (bilinear) and strongest deviation under each pixel of a line."""
-    top, low = np.asarray(top), np.asarray(low)
-    x0, x1, wx = _positions(len(px), block, len(top) - 1)
-    m = top[x0] * (1 - wx) * (1 - wy) + top[x1] * wx * (1 - wy) + low[x0] * (1 - wx) * wy + low[x1] * wx * wy
-    t, w = np.asarray(top_dev), np.asarray(low_dev)
-    return m, np.maximum(np.maximum(t[x0], t[x1]), np.maximum(w[x0], w[x1]))
+def _local_field(sizes, top, top_dev, low, low_dev, wy, block):
+    """Paper brightness (bilinear) and strongest deviation under each pixel of lines laid end to end."""
+    cells = list_sizes(top)
+    first, last = (np.repeat(v, sizes) for v in (np.cumsum(cells) - cells, cells - 1))
+    f = np.minimum(last, np.maximum(0.0, (within(sizes) - block / 2) / block))
+    x0 = f.astype(np.int64)
+    wx, x1 = f - x0, first + np.minimum(x0 + 1, last)
+    x0, wy = first + x0, np.repeat(wy.to_numpy(zero_copy_only=False), sizes)
+    t, u, v, w = (flat(c) for c in (top, low, top_dev, low_dev))
+    m = t[x0] * (1 - wx) * (1 - wy) + t[x1] * wx * (1 - wy) + u[x0] * (1 - wx) * wy + u[x1] * wx * wy
+    return m, np.maximum(np.maximum(v[x0], v[x1]), np.maximum(w[x0], w[x1]))
 
 
 def _on_grid(lines: DataFrame, blocks: DataFrame, block: int, mode: str) -> DataFrame:
@@ -123,10 +121,13 @@ _GRID = ["_top", "_top_dev", "_low", "_low_dev", "_wy"]
 def background_at(lines: DataFrame, blocks: DataFrame, block: int = BLOCK, mode: str = "auto") -> DataFrame:
     """Local paper brightness and structure under every pixel (arrays paper, structure)."""
 
-    @pandas_udf("paper array<double>, structure array<double>")
-    def field(px: pd.Series, a: pd.Series, ad: pd.Series, b: pd.Series, bd: pd.Series, wy: pd.Series) -> pd.DataFrame:
-        pairs = [_local_field(*row, block) for row in zip(px, a, ad, b, bd, wy)]
-        return pd.DataFrame({"paper": [p for p, _ in pairs], "structure": [s for _, s in pairs]})
+    bound_batches(lines.sparkSession)
+
+    @F.arrow_udf("paper array<double>, structure array<double>")
+    def field(px: pa.Array, a: pa.Array, ad: pa.Array, b: pa.Array, bd: pa.Array, wy: pa.Array) -> pa.Array:
+        sizes = list_sizes(px)
+        both = [as_lists(v, sizes, pa.float64()) for v in _local_field(sizes, a, ad, b, bd, wy, block)]
+        return pa.StructArray.from_arrays(both, names=["paper", "structure"])
 
     grid = _on_grid(lines, blocks, block, mode)
     return grid.withColumn("_f", field("px", *_GRID)).select(
@@ -143,20 +144,20 @@ def binarize(
     step per pixel is array arithmetic on whole lines in Arrow batches.
     """
     k = max(-50, min(50, int(contrast)))
-    flat = max(3.0, 11 - k * 0.12)
-
-    @pandas_udf("array<int>")
-    def ink(px: pd.Series, own: pd.Series, inv: pd.Series, a: pd.Series, ad: pd.Series, c: pd.Series, cd: pd.Series, wy: pd.Series) -> pd.Series:
-        out = []
-        for line, b, invert, *grid in zip(px, own, inv, a, ad, c, cd, wy):
-            m, dev = _local_field(line, *grid, block)
-            gap = min(80.0, max(5.0, 28 + b - k * 0.35))
-            paper = np.minimum(m - gap, 210)
-            if invert:
-                bar = np.where(dev < flat, -1.0, np.minimum(np.maximum(m + 60 - b, m + 20), 165))
-                paper = np.where(m >= DIM, paper, bar)
-            out.append((np.asarray(line) < paper).astype(np.int32))
-        return pd.Series(out)
+    flat_dev = max(3.0, 11 - k * 0.12)
+
+    bound_batches(lines.sparkSession)
+
+    @F.arrow_udf("array<int>")
+    def ink(px: pa.Array, own: pa.Array, inv: pa.Array, a: pa.Array, ad: pa.Array, c: pa.Array, cd: pa.Array, wy: pa.Array) -> pa.Array:
+        sizes = list_sizes(px)
+        m, dev = _local_field(sizes, a, ad, c, cd, wy, block)
+        b, invert = (np.repeat(v.to_numpy(zero_copy_only=False), sizes) for v in (own, inv))
+        gap = np.minimum(80.0, np.maximum(5.0, 28 + b - k * 0.35))
+        paper = np.minimum(m - gap, 210)
+        bar = np.where(dev < flat_dev, -1.0, np.minimum(np.maximum(m + 60 - b, m + 20), 165))
+        paper = np.where(invert.astype(bool) & (m < DIM), bar, paper)
+        return as_lists((flat(px) < paper).astype(np.int32), sizes, pa.int32())
 
     grid = _on_grid(lines, block_stats(lines, block), block, dark_areas)
     own = F.col(bias) if isinstance(bias, str) else F.lit(int(bias))
