@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ..arrows import as_lists
+from ..arrows import as_lists, bound_batches, flat
 from ..session import cut_lineage
 
 #: Lines of a strip, and of a part of a hull's points.
@@ -84,6 +85,51 @@ def _page_largest(keys: tuple[str, ...]):
     return run
 
 
+_ENDS = StructType([StructField("area", LongType()), StructField("ends", ArrayType(StructType([StructField(c, IntegerType()) for c in ("y", "x0", "x1")])))])
+
+
+@F.arrow_udf(_ENDS)
+def _largest_ends(pages: pa.Array) -> pa.Array:
+    """Area of each page's largest connected area and the outermost pixels of its lines."""
+    areas, counts, found = [], [], []
+    for k in range(len(pages)):
+        y, lines = pages[k].values.flatten()
+        mask = flat(lines).reshape(len(y), -1)
+        rows, starts, ends, label = labels(mask)
+        area = np.bincount(label, weights=ends - starts) if len(label) else np.zeros(1)
+        own = label == int(np.argmax(area))
+        at, first = np.unique(rows[own], return_index=True)
+        last = np.append(first[1:], own.sum()) - 1
+        areas.append(int(area.max()))
+        counts.append(len(at))
+        found.append(np.stack([y.to_numpy()[at], starts[own][first], ends[own][last] - 1] if len(at) else [np.zeros(0, int)] * 3))
+    columns = [pa.array(c, pa.int32()) for c in np.concatenate([*found, np.zeros((3, 0))], axis=1).astype(np.int32)]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=["y", "x0", "x1"]))
+    return pa.StructArray.from_arrays([pa.array(areas, pa.int64()), lists], names=["area", "ends"])
+
+
+def largest_ends(masks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per page: w, h, area and ends (y, x0, x1 of each line) of the largest area, for pages that are known to be small.
+
+    Pages pass in Arrow batches, many at a time: a call of Python for each page cost more than its pixels.
+    """
+    bound_batches(masks.sparkSession)
+    whole = masks.groupBy(*keys).agg(
+        F.max(F.size("mask")).alias("w"), (F.max("y") + 1).alias("h"),
+        F.sort_array(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("mask").cast("array<int>").alias("mask")))).alias("_lines"))
+    return whole.select(*keys, "w", "h", _largest_ends("_lines").alias("_a")).select(*keys, "w", "h", "_a.area", "_a.ends")
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in "xy"])))
+def hull_of_ends(pages: pa.Array) -> pa.Array:
+    """Hull points in order, of each page's line ends."""
+    hulls = [_chain(np.array([(x, e["y"]) for e in page for x in {e["x0"], e["x1"]}]).reshape(-1, 2)) for page in pages.to_pylist()]
+    xy = np.concatenate([*[h.reshape(-1, 2) for h in hulls], np.zeros((0, 2))]).astype(np.int32)
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hulls)]).astype(np.int32)), points)
+
+
 def _strip_areas(keys: tuple[str, ...]):
     """Areas of a strip (side 0) and the runs of its first (1) and last (2) line, with their area's label."""
     def run(group: pa.Table) -> pa.Table:
