@@ -104,3 +104,13 @@ def test_sketched_colours_stay_within_their_bound(spark):
     together = raster.colours_of(approx, "doc_id").first().n_colours
     truth = df.selectExpr("inline(arrays_zip(r, g, b))").distinct().count()
     assert abs(together - truth) <= 4 * 1.04 / 64 * truth
+
+
+def test_sketches_get_colours_of_a_batch_not_pixels(spark):
+    rows = [(d, 1, y, *[[(d + y) % 3 * 50] * 64] * 3) for d in [*range(300), None] for y in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, y int, r array<int>, g array<int>, b array<int>").coalesce(1)
+    counts = raster.colour_counts(df, ["doc_id", "page_no"])
+    assert counts.count() == 301 * 3 and counts.agg({"n": "sum"}).first()[0] == 301 * 4 * 64
+    approx = raster.page_qa_approx(df)
+    assert "MapInArrow" in approx._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_colours) for r in approx.collect()) == [(False, d, 3) for d in range(300)] + [(True, 0, 3)]
