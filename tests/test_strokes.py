@@ -107,10 +107,37 @@ def test_sketched_colours_stay_within_their_bound(spark):
 
 
 def test_sketches_get_colours_of_a_batch_not_pixels(spark):
-    rows = [(d, 1, y, *[[(d + y) % 3 * 50] * 64] * 3) for d in [*range(300), None] for y in range(4)]
+    rows = [(d, 1, y, *[[((d or 0) + y) % 3 * 50] * 64] * 3) for d in [*range(300), None] for y in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, page_no int, y int, r array<int>, g array<int>, b array<int>").coalesce(1)
     counts = raster.colour_counts(df, ["doc_id", "page_no"])
     assert counts.count() == 301 * 3 and counts.agg({"n": "sum"}).first()[0] == 301 * 4 * 64
     approx = raster.page_qa_approx(df)
     assert "MapInArrow" in approx._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_colours) for r in approx.collect()) == [(False, d, 3) for d in range(300)] + [(True, 0, 3)]
+
+
+def test_erased_lines_equal_a_search_per_pixel_in_batches(spark):
+    rng = random.Random(9)
+    drawn = [(1, 1, rng.uniform(0.01, 0.1), [(rng.uniform(-0.1, 1.1), rng.uniform(-0.1, 1.1)) for _ in range(rng.choice((1, 2, 4)))]) for _ in range(12)]
+    df = spark.createDataFrame([(1, 1, y, *[[(x * k + y) % 200 for x in range(90)] for k in (1, 3, 7)]) for y in range(60)] + [(2, 1, 0, [1], [2], [3])],
+                               "doc_id long, page_no int, y int, r array<int>, g array<int>, b array<int>")
+    strokes = spark.createDataFrame(drawn, "doc_id long, page_no int, size double, points array<struct<x double, y double>>")
+    burnt = raster.burn_erase(df, strokes, spark.createDataFrame([(1, 1, 90, 60)], "doc_id long, page_no int, w int, h int"))
+    plan = burnt._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "exists(" not in plan
+
+    def near(x, y):
+        for _, _, size, points in drawn:
+            rad, p = max(1.0, size * 90) / 2, [(a * 90, b * 60) for a, b in points]
+            for (ax, ay), (bx, by) in zip(p, p[1:] or p):
+                dx, dy = bx - ax, by - ay
+                t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((x + 0.5 - ax) * dx + (y + 0.5 - ay) * dy) / (dx * dx + dy * dy)))
+                if (x + 0.5 - ax - t * dx) ** 2 + (y + 0.5 - ay - t * dy) ** 2 <= rad * rad:
+                    return True
+        return False
+
+    got = {(r.doc_id, r.y): (r.r, r.g, r.b) for r in burnt.collect()}
+    assert got.pop((2, 0)) == ([1], [2], [3])
+    white = {(x, y) for y in range(60) for x in range(90) if near(x, y)}
+    assert 200 < len(white) < 5000
+    assert got == {(1, y): tuple([255 if (x, y) in white else (x * k + y) % 200 for x in range(90)] for k in (1, 3, 7)) for y in range(60)}
