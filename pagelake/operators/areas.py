@@ -10,7 +10,6 @@ A label is the place of an area's first run, so that the least one is the first
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -230,18 +229,14 @@ def convex_hull(points: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no")
 
     Only the outermost points of each line can be hull corners; that exact prefilter is a combined
     aggregate. Of these, hulls of ``chunk`` lines are merged, as a corner of the whole is one of its part:
-    a page's last task gets the corners of its parts only. ``chunk`` None: pages are known to be small.
+    a page's last hull is that of the corners of its parts only. ``chunk`` None: pages are known to be small.
+    Pages and parts pass in Arrow batches, many at a time.
     """
-    ends = points.groupBy(*keys, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    ends = ends.select(*keys, "y", F.explode(F.array_distinct(F.array("x0", "x1"))).alias("x"))
-    types = dict(points.dtypes)
-
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _chain(pdf[["x", "y"]].to_numpy())
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(h) for k in keys})
-        return out.assign(pos=range(len(h)), x=h[:, 0], y=h[:, 1])
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", pos int, x int, y int"
+    bound_batches(points.sparkSession)
+    ends = points.groupBy(*keys, F.col("y").cast("int").alias("y")).agg(F.min("x").cast("int").alias("x0"), F.max("x").cast("int").alias("x1"))
+    part = [F.floor(F.col("y") / chunk).alias("_part")] if chunk else []
+    hulls = ends.groupBy(*keys, *part).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_ends")).select(*keys, hull_of_ends("_ends").alias("_hull"))
     if chunk:
-        ends = ends.groupBy(*keys, F.floor(F.col("y") / chunk).alias("_part")).applyInPandas(hull, schema)
-    return ends.select(*keys, "x", "y").groupBy(*keys).applyInPandas(hull, schema)
+        corners = F.expr("transform(flatten(collect_list(_hull)), p -> named_struct('y', p.y, 'x0', p.x, 'x1', p.x))")
+        hulls = hulls.groupBy(*keys).agg(corners.alias("_ends")).select(*keys, hull_of_ends("_ends").alias("_hull"))
+    return hulls.select(*keys, F.posexplode("_hull").alias("pos", "p")).select(*keys, "pos", "p.x", "p.y")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pagelake.operators import areas
+from pagelake.operators import areas, detect
 
 MASK = "doc_id long, page_no int, y int, mask array<int>"
 
@@ -76,3 +76,24 @@ def test_hulls_of_parts_give_the_hull(spark, chunk):
             n = len(hull)
             assert all(cross(hull[i], hull[(i + 1) % n], hull[(i + 2) % n]) > 0 for i in range(n))
             assert all(cross(hull[i], hull[(i + 1) % n], p) >= 0 for i in range(n) for p in map(tuple, points.tolist()))
+
+
+def test_hulls_of_many_pages_pass_in_batches(spark):
+    rng = np.random.default_rng(3)
+    pages = {d: (rng.random((rng.integers(1, 9), rng.integers(1, 12))) < 0.7).astype(int) for d in range(80)}
+    df = spark.createDataFrame([(d, 1, y, row.tolist()) for d, m in pages.items() for y, row in enumerate(m)], "doc_id long, page_no int, y int, comp array<int>")
+    points = detect.boundary_points(df)
+    hulls = areas.convex_hull(points, chunk=3)
+    assert "FlatMapGroupsInPandas" not in hulls._jdf.queryExecution().executedPlan().toString()
+    edge = {}
+    for d, m in pages.items():
+        out = np.pad(m, 1)
+        inner = out[:-2, 1:-1] & out[2:, 1:-1] & out[1:-1, :-2] & out[1:-1, 2:]
+        edge[d] = {(int(x), int(y)) for y, x in zip(*np.nonzero(m & ~inner & 1))}
+    got, corners = {}, {}
+    for r in points.collect():
+        got.setdefault(r.doc_id, set()).add((r.x, r.y))
+    assert got == {d: e for d, e in edge.items() if e}
+    for r in hulls.orderBy("pos").collect():
+        corners.setdefault(r.doc_id, []).append((r.x, r.y))
+    assert corners == {d: [tuple(map(int, p)) for p in areas._chain(np.array(sorted(e)))] for d, e in edge.items() if e}
