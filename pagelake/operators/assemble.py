@@ -16,7 +16,8 @@ from pyspark.sql.types import BinaryType, StringType
 
 from ..functions import fax
 from ..keys import ordered_index, running_total
-from .bilevel import _with_line_above, pack_nibbles, packed_page
+from ..session import cut_lineage
+from .bilevel import _with_line_above, pack_bits, pack_nibbles
 from .raster import PAGE
 from .textlayer import word_operators
 
@@ -25,7 +26,7 @@ HEADER = "%PDF-1.5\n"
 
 
 def _line_codes(above: pd.Series, current: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([fax.line_code(a, c, w) for a, c, w in zip(above, current, width)])
+    return pd.Series([fax.line_code(a.tolist(), c.tolist(), w) for a, c, w in zip(above, current, width.tolist())])
 
 
 def _page_bytes(lines: pd.Series) -> pd.Series:
@@ -43,15 +44,16 @@ _deflate_udf = pandas_udf(_deflate, BinaryType())
 
 def encode_bilevel(bits: DataFrame, requested: str = "auto") -> DataFrame:
     """One compressed stream per black-and-white page, the smaller codec unless one is named."""
-    coded = _with_line_above(bits).select(
-        *PAGE, "y", F.size("bit").alias("w"), _codes_udf("above", "changes", F.size("bit")).alias("code")
+    coded = pack_bits(_with_line_above(bits)).select(
+        *PAGE, "y", F.size("bit").alias("w"), "packed", _codes_udf("above", "changes", F.size("bit")).alias("code")
     )
-    g4 = coded.groupBy(*PAGE).agg(
+    both = coded.groupBy(*PAGE).agg(
         F.max("w").alias("w_px"), F.count(F.lit(1)).cast("int").alias("h_px"),
-        F.expr("transform(sort_array(array_agg(struct(y, code))), e -> e.code)").alias("_codes"),
-    ).withColumn("_g4", _page_udf("_codes")).drop("_codes")
-    flate = packed_page(bits).withColumn("_flate", _deflate_udf("packed")).drop("packed")
-    both = g4.join(flate, PAGE)
+        F.expr("sort_array(array_agg(struct(y, code, hex(packed) AS h)))").alias("_lines"),
+    ).select(
+        *PAGE, "w_px", "h_px", _page_udf(F.expr("transform(_lines, e -> e.code)")).alias("_g4"),
+        _deflate_udf(F.expr("unhex(array_join(transform(_lines, e -> e.h), ''))")).alias("_flate"),
+    )
     pick = "length(_g4) <= length(_flate)" if requested == "auto" else f"'{requested}' = 'g4'"
     return both.selectExpr(
         *PAGE, "w_px", "h_px", f"CASE WHEN {pick} THEN 'g4' ELSE 'flate' END AS codec",
@@ -94,6 +96,8 @@ def assemble_documents(encoded: DataFrame, words: DataFrame | None = None, chunk
     the page's content stream and use one font object, which a document's pages share; it follows the
     tree nodes and the catalogue. Words of pages that are not there are left out.
     """
+    # What follows reads pages many times over, and their places too: neither is worked out twice.
+    encoded = cut_lineage(encoded, "pages")
     layered = encoded.withColumn("_words", F.lit(None).cast("string")) if words is None else encoded.join(
         word_operators(words).withColumnRenamed("operators", "_words"), PAGE, "left")
     encoded = ordered_index(layered, ["doc_id"], F.floor(F.col("page_no") / 1024), ["page_no"], "_place").drop("page_no").withColumn(
@@ -118,15 +122,15 @@ def assemble_documents(encoded: DataFrame, words: DataFrame | None = None, chunk
             ' /Length ', length(stream), ' >>\\nstream\\n') AS _c""",
         "stream",
     ).withColumn("_size", F.expr("CAST(length(_a) + length(_b) + length(_c) + length(stream) + 18 AS BIGINT)"))
-    placed = running_total(pages, ["doc_id"], F.col("node"), ["page_no"], "_size", "_before").withColumn(
+    placed = cut_lineage(running_total(pages, ["doc_id"], F.col("node"), ["page_no"], "_size", "_before").withColumn(
         "_at", F.expr(f"CAST(_before + {len(HEADER)} AS BIGINT)")
-    )
+    ), "placed")
     body = placed.select("doc_id", "_at", F.expr(
         f"concat({_bytes('concat(_a, _b, _c)')}, stream, {_bytes(chr(39) + chr(92) + 'nendstream' + chr(92) + 'nendobj' + chr(92) + 'n' + chr(39))})"
     ).alias("content")).selectExpr("doc_id", "'page' AS part", "_at AS offset", "content")
 
     # Tree nodes: one per ``chunk`` pages, placed after the page bodies.
-    nodes = pages.groupBy("doc_id", "node").agg(
+    nodes = placed.groupBy("doc_id", "node").agg(
         F.sum("_size").alias("_pages_size"), F.count(F.lit(1)).alias("_kids"), F.max("n").alias("n")
     ).withColumn("_text", F.expr(f"""concat(3 + 3 * n + node, ' 0 obj\\n<< /Type /Pages /Parent 2 0 R /Count ', _kids, ' /Kids [',
         array_join(transform(sequence(1, CAST(_kids AS INT)), k -> concat(3 * (node * {chunk} + k), ' 0 R')), ' '), '] >>\\nendobj\\n')"""))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
+from ..arrows import as_lists, bound_batches, flat, list_sizes, within
 from ..fixed import (
     T4_BLACK_MAKEUP, T4_BLACK_TERMINATING, T4_SHARED_MAKEUP, T4_WHITE_MAKEUP, T4_WHITE_TERMINATING, T6_END_OF_BLOCK,
 )
@@ -13,12 +16,20 @@ from ..functions import fax
 from .raster import PAGE
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _changes(bits: pa.Array) -> pa.Array:
+    sizes, v = list_sizes(bits), flat(bits)
+    at = within(sizes)
+    before = np.where(at > 0, np.concatenate([v[:1], v[:-1]]), 0)
+    found = v != before
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    return as_lists(at[found].astype(np.int32), np.bincount(line[found], minlength=len(sizes)), pa.int32())
+
+
 def changing_elements(bits: DataFrame) -> DataFrame:
     """Positions where a pixel differs from the one before it (white before the first)."""
-    return bits.withColumn(
-        "changes",
-        F.expr("filter(sequence(0, size(bit) - 1), i -> bit[i] <> CASE WHEN i = 0 THEN 0 ELSE bit[i - 1] END)"),
-    )
+    bound_batches(bits.sparkSession)
+    return bits.withColumn("changes", _changes("bit"))
 
 
 def pixel_runs(bits: DataFrame) -> DataFrame:
@@ -54,13 +65,20 @@ def run_code_bits(runs: DataFrame) -> DataFrame:
     ).drop("_rep", "_rest")
 
 
+@F.arrow_udf(BinaryType())
+def _packed_bits(bits: pa.Array) -> pa.Array:
+    sizes, black = list_sizes(bits), flat(bits) == 0
+    wide = -(-sizes // 8)
+    row = np.zeros(8 * int(wide.sum()), bool)
+    row[np.repeat(8 * (np.cumsum(wide) - wide), sizes) + within(sizes)] = black
+    ends = np.concatenate([[0], np.cumsum(wide)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.packbits(row))])
+
+
 def pack_bits(bits: DataFrame) -> DataFrame:
     """Eight pixels a byte, 1 = white, lines byte-aligned."""
-    byte = """aggregate(sequence(0, 7), 0, (v, j) -> v * 2 + CASE WHEN coalesce(get(bit, CAST(k * 8 + j AS INT)), 1) = 0 THEN 1 ELSE 0 END)"""
-    return bits.withColumn(
-        "packed",
-        F.expr(f"unhex(array_join(transform(sequence(0, (size(bit) + 7) div 8 - 1), k -> lpad(hex({byte}), 2, '0')), ''))"),
-    )
+    bound_batches(bits.sparkSession)
+    return bits.withColumn("packed", _packed_bits("bit"))
 
 
 def pack_nibbles(indexed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.operators import assemble, resample, textlayer
+from pagelake.operators import assemble, bilevel, resample, textlayer
 from pagelake.plans import chains
 
 from .test_goldens import decode_t6
@@ -148,3 +148,16 @@ def test_compress_brings_pages_to_size_and_keeps_words(spark):
     want = area_mean(grey, 67, 50)
     inner = bits[25:31, 14:31]
     assert inner.min() == inner.max() and want[25:31, 14:31].max() < 60
+
+
+def test_pages_are_coded_once(spark):
+    rng = np.random.default_rng(6)
+    bits = spark.createDataFrame([(1, p, y, rng.integers(0, 2, 5 + 4 * p).tolist()) for p in (1, 2, 3) for y in range(4)], "doc_id long, page_no int, y int, bit array<int>")
+    for r in bilevel.pack_bits(bilevel.changing_elements(bits)).collect():
+        assert bytes(r.packed) == np.packbits(np.array(r.bit) == 0).tobytes()
+        assert r.changes == [x for x, v in enumerate(r.bit) if v != ([0] + r.bit)[x]]
+    pages = assemble.encode_bilevel(bits).selectExpr("*", "100D AS w_pt", "100D AS h_pt")
+    parts = assemble.assemble_documents(pages)
+    assert "EvalPython" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r.offset, bytes(r.content)) for r in parts.collect())
+    assert all(a + len(c) == b for (a, c), (b, _) in zip(rows, rows[1:])) and rows[0][0] == 0
