@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -24,6 +26,15 @@ def test_checks_belong_to_queries():
     assert CHECKS.keys() <= QUERIES.keys()
 
 
+def test_queries_are_listed_without_a_session():
+    """In a process of its own: the tests' session would hide what needs one."""
+    say = "import __spark_entry__ as e; print(*e.queries()); e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", say], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr[-800:]
+    assert QUERIES.keys() < set(said.stdout.split())
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(name, spark, sf, con):
     df = QUERIES[name](spark, sf)
