@@ -155,6 +155,59 @@ def test_passages_whose_parts_occur_before(spark):
         assert any((both if i < 950 else " ".join(parts)).lower() in o for o in own)
 
 
+def test_edited_passages_whose_pieces_occur_before(spark):
+    """Each piece of 12 words stands in an earlier document of its own, so no single one has the seeds of a passage."""
+    rng = random.Random(13)
+    rows, want, new = [], set(), lambda n: cases.prose(n, rng)
+    for n in range(20):
+        text, i = new(70), 2000 + 20 * n
+        words = text.split(" ")
+        pieces = [" ".join(words[at : at + 12]) for at in range(0, 70, 6)]
+        rows += [(i + k, f"{new(40)} {t} {new(40)}", "en", "a") for k, t in enumerate([*pieces, text, cases.edited(text, 10)])]
+        want.add((i + len(pieces) + 1, i + len(pieces)))
+    got = passages.repeated_passages(cases.table(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want
+
+
+def test_words_that_repeat_over_and_over(spark):
+    """A pair of words, 300 times in a row: its runs stand in many places of both documents."""
+    rng = random.Random(14)
+    pair, new = " ".join(["is", "onhe."] * 300), lambda n: cases.prose(n, rng)
+    rows = [(i, f"{new(30 + i % 7)} {pair} {new(50)}", "en", "a") for i in (3000, 3001, 3002)]
+    got = passages.repeated_passages(cases.table(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(3001, 3000), (3002, 3000)}
+    for i in (3001, 3002):
+        inside = {w for r in got if r.doc_id == i for w in range(r.word_from, r.word_to)}
+        assert inside >= set(range(30 + i % 7 + passages.K, 630 + i % 7 - passages.K))
+
+
+def test_one_whole_run_whose_pieces_occur_before(spark):
+    """A passage of just MIN_WORDS words, all of whose seeds begin in other documents."""
+    rng = random.Random(15)
+    new = lambda n: cases.prose(n, rng)
+    text = new(passages.MIN_WORDS)
+    words = text.split(" ")
+    pieces = [" ".join(words[at : at + 20]) for at in range(0, 50, 10)]
+    rows = [(3100 + k, f"{new(40)} {t} {new(40)}", "en", "a") for k, t in enumerate([*pieces, text, text])]
+    got = passages.repeated_passages(cases.table(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(3106, 3105)}
+
+
+def test_seeds_that_ask():
+    """Every set of seeds that covers SURE words of MIN_WORDS has one that asks, whatever the levels."""
+    rng = np.random.default_rng(16)
+    for _ in range(60):
+        pos = np.unique(rng.integers(0, 160, rng.integers(5, 80)))
+        level = rng.integers(1, 6, len(pos))
+        asks = passages.asking(pos, level)
+        for start in range(0, 150):
+            here = np.flatnonzero((pos >= start) & (pos + passages.K <= start + passages.MIN_WORDS))
+            for least in range(1, 7):
+                kept = [x for x in here if level[x] >= least]
+                cover = {w for x in kept for w in range(pos[x], pos[x] + passages.K)}
+                assert len(cover) < passages.SURE or asks[[x for x in kept if level[x] == level[kept].min()]].all()
+
+
 PAGES = [
     ("<html><body><nav><a>Menu</a></nav><article><h1>A title</h1><p>First &amp; last,\n   with <b>bold</b> words.<br>Next line.<p>Second "
      "one, never closed.<div class='ad'>Buy this now</div></article><footer>&copy; Us</footer><script>var x = '<p>no</p>'</script></body></html>",
