@@ -205,6 +205,9 @@ def test_seeds_that_ask():
             for least in range(1, 7):
                 kept = [x for x in here if level[x] >= least]
                 cover = {w for x in kept for w in range(pos[x], pos[x] + passages.K)}
+                if least == 1:  # the set as a whole: enough of its seeds ask
+                    fewest = -(-(passages.SURE - passages.most_covered(pos[~asks])) // passages.K)
+                    assert len(cover) < passages.SURE or asks[here].sum() >= fewest
                 assert len(cover) < passages.SURE or asks[[x for x in kept if level[x] == level[kept].min()]].all()
 
 
