@@ -88,6 +88,46 @@ def test_fenwick_chain_is_the_best_one():
         assert all(a[0] < b[0] and a[1] < b[1] for c in found for a, b in zip(c, c[1:]))
 
 
+def test_chains_of_ascending_matches_are_the_best_ones():
+    """Matches that ascend in both documents have a way of their own."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        h, p = (np.sort(rng.choice(900, n, replace=False)).tolist() for _ in range(2))
+        found = passages.chains(h, p)
+        total = lambda c: passages.K * len(c) - passages.GAP * sum(c[i + 1][0] - c[i][0] + c[i + 1][1] - c[i][1] - 2 * passages.K for i in range(len(c) - 1))
+        assert abs(max([passages.K, *map(total, found)]) - plain_chain(h, p)) < 1e-9
+        used = [m for c in found for m in c]
+        assert len(set(used)) == len(used) and set(used) <= set(zip(h, p))
+
+
+def test_seeds_of_a_batch_are_those_of_each_text():
+    rng = random.Random(21)
+    texts = [None, b"", b"a b c"] + [" ".join(rng.choices("abc", k=rng.randint(0, 14))).encode() for _ in range(300)] + [cases.prose(n, rng).encode() for n in (4, 6, 7, 400)]
+    got = [[] for _ in texts]
+    for t, at, seed in zip(*(x.tolist() for x in passages.seeds_of(texts))):
+        got[t].append((at, seed))
+    for text, own in zip(texts, got):
+        h = passages.word_hashes(passages.lower_words(text))
+        keys = passages.window_hashes(h, passages.K).tolist() if len(h) >= passages.K else []
+        windows = [keys[i : i + passages.WINDOW] for i in range(max(len(keys) - passages.WINDOW + 1, min(len(keys), 1)))]
+        assert own == [(at, keys[at]) for at in sorted({i + w.index(min(w)) for i, w in enumerate(windows)})]
+
+
+def test_postings_are_dealt_out_once(spark):
+    """One exchange of all seeds serves the aggregate and the join, and only seeds of several documents leave it."""
+    rng = random.Random(22)
+    text = cases.prose(90, rng)
+    rows = [(i, f"{cases.prose(60, rng)} {text} {cases.prose(40, rng)}", "en", "a") for i in (1, 2, 3)]
+    found = passages.linked(passages.postings(cases.table(spark, rows)))
+    seeds = found.groupBy("seed").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("least"), F.max("hub").alias("hub")).collect()
+    assert seeds and all(r.n > 1 and r.hub == r.least for r in seeds)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(seed") - final.count("ReusedExchange") <= 1 and "ReusedExchange" in final, final
+
+
 def test_passages(spark):
     rng = random.Random(9)
     long, short, fuzzy = cases.prose(90, rng), cases.prose(30, rng), cases.prose(200, rng)
@@ -169,6 +209,14 @@ def test_edited_passages_whose_pieces_occur_before(spark):
     assert {(r.doc_id, r.other_id) for r in got} == want
 
 
+def test_asking_seeds_far_apart_make_no_pair(spark):
+    """Documents that share asking seeds here and there, but never so many among MIN_WORDS words, are not matched at all."""
+    asked = [(9, seed, 200 * seed, True, 3) for seed in range(40)] + [(9, 100 + k, 9000 + 9 * k, True, 3) for k in range(5)]
+    others = [(1, seed, seed) for seed in range(40)] + [(2, 100 + k, k) for k in range(5)] + [(3, 100, 5), (3, 101, 9), (3, 0, 50)] + [(8, 102 + k, k) for k in range(3)]
+    frames = [spark.createDataFrame(rows, kind) for rows, kind in ((asked, "doc_id long, seed long, pos int, asks boolean, least int"), (others, "hub long, seed long, hub_pos int"))]
+    assert sorted(r.hub for r in passages.asked_pairs(*frames).collect()) == [2, 8]
+
+
 def test_words_that_repeat_over_and_over(spark):
     """A pair of words, 300 times in a row: its runs stand in many places of both documents."""
     rng = random.Random(14)
