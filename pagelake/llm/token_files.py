@@ -25,6 +25,7 @@ hash. An empty table gives files without rows.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 from zlib import crc32
@@ -43,7 +44,7 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 20_000
 # ASCII marks, without the apostrophe.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words and other stretches a worker remembers in one generation; it keeps the one before, too.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Bytes of text that are cut into stretches at a time, about.
 SLICE_BYTES = 3 << 20
 
@@ -75,12 +76,13 @@ class _Stretches(dict):
         self.encoder, self.space, self.before = encoder, space, {}
 
     def __missing__(self, part: str) -> bytes | None:
-        ids, word = self.before.get(part), part[:-1]
+        mark, word = self.encoder.marks.get(part[-1:]), part[:-1]
+        if mark is not None and word.isalpha():
+            return self[word] + mark  # put together again each time, so that words alone fill the memory
+        ids = self.before.get(part)
         if ids is None:
             if part.isalpha():
                 ids = self.encoder.word(self.space, part)
-            elif part[-1:] in MARKS and word.isalpha():
-                return self[word] + self.encoder.marks[part[-1]]  # put together again each time, so that words alone fill the memory
             elif "\n" in part:
                 return self.found(part)
             else:
@@ -90,6 +92,29 @@ class _Stretches(dict):
         self[part] = ids
         return ids
 
+    def all_of(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of each of these stretches; words that are not known yet are encoded in one call."""
+        out, fresh, open_ = list(map(self.get, parts)), {}, []
+        get, before, mark_of = self.get, self.before, self.encoder.marks.get
+        for n, ids in enumerate(out):
+            if ids is None:
+                part = parts[n]
+                mark = mark_of(part[-1:])
+                word = part if mark is None else part[:-1]
+                if word.isalpha():
+                    ids = get(word) if mark is not None else None
+                    if ids is not None:
+                        out[n] = ids + mark
+                        continue
+                    if word not in before:
+                        fresh[word] = None
+                open_.append(n)
+        if fresh and self.space:
+            self.encoder.learn(fresh)
+        for n in open_:
+            out[n] = self[parts[n]]
+        return out
+
     def turn(self) -> None:
         """Begin a generation; what is asked for again comes back from the one before."""
         self.before = dict(self)
@@ -98,7 +123,7 @@ class _Stretches(dict):
     def found(self, part: str) -> bytes | None:
         if part[-1:].isspace() or (self.space and (not part or part[0].isspace())):
             return None
-        if any(t in part for t in self.encoder.special):
+        if self.encoder.special(part):
             return self.encoder.whole(self.space + part)
         cut = len(part.rstrip(MARKS))
         if 0 < cut < len(part) and part[cut - 1].isalnum():
@@ -129,7 +154,7 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(byte_letters()[32])]] = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         self.line_end, self.marks = self.whole("\n"), {m: self.whole(m) for m in MARKS}
         self.first, self.rest = _Stretches(self, ""), _Stretches(self, " ")
 
@@ -152,19 +177,12 @@ class Encoder:
         ids, _ = self.batch(pa.array([text]), 0)
         return ids[:-1].astype("<u4").tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        """Encode the words among these stretches that are not known yet, all in one call.
+    def learn(self, fresh: dict[str, None]) -> None:
+        """Encode these words, which are not known yet, all in one call.
 
         A word's first id is the only one that spells a space, which tells the words apart.
         """
-        known, before, fresh = self.rest, self.rest.before, {}
-        for part in parts:
-            if part not in known:
-                word = part if part.isalpha() else part[:-1] if part[-1:] in MARKS else ""
-                if word.isalpha() and word not in known and word not in before:
-                    fresh[word] = None
-        if not fresh:
-            return
+        known = self.rest
         data = self.whole(" " + " ".join(fresh))
         starts = 4 * np.flatnonzero(self.spaced[np.frombuffer(data, "<u4")])
         if len(known) + len(fresh) >= REMEMBERED:
@@ -181,15 +199,16 @@ class Encoder:
         head[starts] = True  # a text has one stretch at least
         found, piece = [], np.empty(len(code), np.int64)
         for at, table in ((head, self.first), (~head, self.rest)):
-            kinds, place = np.unique(code[at], return_inverse=True)
-            piece[at] = place + len(found)
-            asked = [parts[k] for k in kinds]
-            if table is self.rest:
-                self.learn(asked)
-            found += [table[p] for p in asked]
-        unknown = np.array([ids is None for ids in found], bool)
-        ids = np.frombuffer(b"".join(i for i in found if i is not None), "<u4").astype(np.int32)
-        sizes = np.array([len(i) // 4 if i is not None else 0 for i in found], np.int64)
+            own, seen = code[at], np.zeros(len(parts), bool)
+            seen[own] = True
+            piece[at] = (np.cumsum(seen) + (len(found) - 1))[own]
+            found += table.all_of([parts[k] for k in np.flatnonzero(seen).tolist()])
+        unknown = np.zeros(len(found), bool)
+        if None in found:
+            unknown[[n for n, ids in enumerate(found) if ids is None]] = True
+            found = [ids or b"" for ids in found]
+        ids = np.frombuffer(b"".join(found), "<i4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin, size = (np.cumsum(sizes) - sizes)[piece], sizes[piece]
         before = np.cumsum(size) - size
         wide = np.int32 if size.sum() < 1 << 31 else np.int64

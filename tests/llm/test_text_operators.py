@@ -164,3 +164,18 @@ def test_token_files(spark):
 
 def test_no_token_files_for_nothing(spark):
     assert token_files.token_files(cases.empty(spark)).collect() == []
+
+
+def test_words_are_encoded_once_and_kept():
+    """Words of a batch are encoded in one call, with and without marks, and are not encoded again after many others."""
+    encoder = token_files.Encoder(token_files.tokenizer_path())
+    learn, asked = encoder.learn, []
+    encoder.learn = lambda fresh: (asked.append(len(fresh)), learn(fresh))
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+    text = lambda a, b: " ".join(["so", *(word(n) + ",." [n % 2] * (n % 3 > 0) for n in range(a, b))])
+    first = encoder(text(0, 2000))
+    assert asked == [2000] and first == encoder.whole(text(0, 2000))
+    for at in range(2000, 602_000, 100_000):
+        encoder(text(at, at + 100_000))
+    asked.clear()
+    assert encoder(text(0, 2000)) == first and asked == []
