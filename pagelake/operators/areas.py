@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ..arrows import as_lists, bound_batches, flat
+from ..arrows import as_lists, bound_batches, flat, list_sizes
 from ..session import cut_lineage
 
 #: Lines of a strip, and of a part of a hull's points.
@@ -22,13 +22,6 @@ STRIP, CHUNK = 1024, 4096
 _LINE = 1 << 24  # more pixels than a line has
 
 
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, first pixel and pixel after the last of every run."""
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    rows, starts = np.nonzero(edge == 1)
-    return rows, starts, np.nonzero(edge == -1)[1]
-
-
 def touching(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of runs in lines that follow each other and share a column; runs in reading order."""
     span = width + 2
@@ -39,123 +32,163 @@ def touching(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int)
     return upper, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def labels(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of a mask and for each the least run of its area (pixels above or beside each other touch)."""
-    rows, starts, ends = runs(mask)
+def line_runs(px: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, first pixel and pixel after the last of every run, of lines laid end to end."""
+    on, ends = px == 1, np.cumsum(sizes)
+    before, after = np.append(False, on[:-1])[: len(on)], np.append(on[1:], False)[: len(on)]
+    before[(ends - sizes)[sizes > 0]] = False
+    after[ends[sizes > 0] - 1] = False
+    first = np.flatnonzero(on & ~before)
+    line = np.repeat(np.arange(len(sizes)), sizes)[first]
+    return line, first - (ends - sizes)[line], np.flatnonzero(on & ~after) + 1 - (ends - sizes)[line]
+
+
+def joined(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """For each run the least run of its area (pixels above or beside each other touch); rows of a page follow each other, others don't."""
     label = np.arange(len(rows))
-    upper, lower = touching(rows, starts, ends, mask.shape[1])
-    while True:
-        low = np.minimum(label[upper], label[lower])
-        new = label.copy()
-        for at in (label[upper], label[lower], upper, lower):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return rows, starts, ends, label
-        label = new
+    upper, lower = touching(rows, starts, ends, width)
+    while len(upper):
+        a, b = label[upper], label[lower]
+        apart = a != b
+        upper, lower, a, b = upper[apart], lower[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(far := label[label], label):
+            label = far
+    return label
+
+
+class Pages:
+    """Many pages (or strips) of an Arrow batch, each a list of lines (y, pixels) in order of y; their runs and areas after ``of_pixels``."""
+
+    def __init__(self, pages: pa.ListArray):
+        self.n = list_sizes(pages)
+        y, lines = pages.flatten().flatten()
+        self.y, self.sizes = y.to_numpy(zero_copy_only=False).astype(np.int64), list_sizes(lines)
+        self.page = np.repeat(np.arange(len(self.n)), self.n)
+        self.px = flat(lines)
+
+    def of_pixels(self, px: np.ndarray) -> Pages:
+        """The same, with the runs and areas of the pixels that are 1."""
+        self.rows, self.starts, self.ends = line_runs(px, self.sizes)
+        self.own = self.page[self.rows]
+        self.label = joined(self.rows + self.own, self.starts, self.ends, int(self.sizes.max(initial=0)))
+        self.area = np.bincount(self.label, weights=self.ends - self.starts, minlength=len(self.rows)).astype(np.int64)
+        return self
+
+    def places(self) -> np.ndarray:
+        return self.y[self.rows] * _LINE + self.starts
 
+    def largest(self, among: np.ndarray) -> np.ndarray:
+        """The largest of the areas ``among`` of each page that has any, the first in reading order on ties."""
+        order = among[np.lexsort([among, -self.area[among], self.own[among]])]
+        return order[np.unique(self.own[order], return_index=True)[1]]
 
-def _stacked(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    group = group.sort_by("y").combine_chunks()
-    px = group["mask"].combine_chunks()
-    return group, group["y"].to_numpy(), px.flatten().to_numpy().reshape(group.num_rows, -1)
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each page: whether a run is part of its largest area, and the area's size."""
+        top = self.largest(np.flatnonzero(self.area))
+        chosen, size = np.zeros(len(self.rows), bool), np.zeros(len(self.n), np.int64)
+        chosen[top], size[self.own[top]] = True, self.area[top]
+        return chosen[self.label], size
 
+    def painted(self, chosen: np.ndarray) -> pa.ListArray:
+        """Lines (y, comp) of each page with the chosen runs set."""
+        base, step = np.cumsum(self.sizes) - self.sizes, np.zeros(self.sizes.sum() + 1, np.int32)
+        np.add.at(step, (base[self.rows] + self.starts)[chosen], 1)
+        np.add.at(step, (base[self.rows] + self.ends)[chosen], -1)
+        lines = as_lists(np.cumsum(step, dtype=np.int32)[:-1], self.sizes, pa.int32())
+        return self.lists(pa.StructArray.from_arrays([pa.array(self.y.astype(np.int32)), lines], names=["y", "comp"]), self.n)
 
-def _painted(mask: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    step = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int32)
-    step[rows[chosen], starts[chosen]] = 1
-    step[rows[chosen], ends[chosen]] -= 1
-    return np.cumsum(step, axis=1)[:, :-1]
+    @staticmethod
+    def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
 
 
-def _result(group: pa.Table, keys: tuple[str, ...], comp: np.ndarray, area: int) -> pa.Table:
-    sizes = np.full(comp.shape[0], comp.shape[1])
-    return group.select([*keys, "y"]).append_column("comp", as_lists(comp.ravel(), sizes, pa.int32())).append_column("area", pa.array(np.full(len(sizes), area)))
+def areas_of(pages: pa.ListArray) -> Pages:
+    p = Pages(pages)
+    return p.of_pixels(p.px)
 
 
-def _page_largest(keys: tuple[str, ...]):
-    def run(group: pa.Table) -> pa.Table:
-        group, _, mask = _stacked(group)
-        rows, starts, ends, label = labels(mask)
-        area = np.bincount(label, weights=ends - starts) if len(label) else np.zeros(1)
-        best = int(np.argmax(area))
-        return _result(group, keys, _painted(mask, rows, starts, ends, label == best), int(area[best]))
+def _struct(**kinds) -> StructType:
+    return StructType([StructField(c, k) for c, k in kinds.items()])
 
-    return run
 
+_LINES = ArrayType(_struct(y=IntegerType(), comp=ArrayType(IntegerType())))
 
-_ENDS = StructType([StructField("area", LongType()), StructField("ends", ArrayType(StructType([StructField(c, IntegerType()) for c in ("y", "x0", "x1")])))])
 
+@F.arrow_udf(_struct(area=LongType(), lines=_LINES))
+def _page_largest(pages: pa.Array) -> pa.Array:
+    p = areas_of(pages)
+    chosen, size = p.best()
+    return pa.StructArray.from_arrays([pa.array(size), p.painted(chosen)], names=["area", "lines"])
 
-@F.arrow_udf(_ENDS)
-def _largest_ends(pages: pa.Array) -> pa.Array:
+
+def _whole(masks: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key with its lines (y, mask) in order; a mask's pixels take a byte each on their way."""
+    lines = F.struct(F.col("y").cast("int").alias("y"), F.col("mask").cast("array<tinyint>").alias("mask"))
+    return masks.select(*keys, lines.alias("_line")).groupBy(*keys).agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
+
+
+def ends_of_largest(p: Pages) -> tuple[np.ndarray, pa.ListArray]:
     """Area of each page's largest connected area and the outermost pixels of its lines."""
-    areas, counts, found = [], [], []
-    for k in range(len(pages)):
-        y, lines = pages[k].values.flatten()
-        mask = flat(lines).reshape(len(y), -1)
-        rows, starts, ends, label = labels(mask)
-        area = np.bincount(label, weights=ends - starts) if len(label) else np.zeros(1)
-        own = label == int(np.argmax(area))
-        at, first = np.unique(rows[own], return_index=True)
-        last = np.append(first[1:], own.sum()) - 1
-        areas.append(int(area.max()))
-        counts.append(len(at))
-        found.append(np.stack([y.to_numpy()[at], starts[own][first], ends[own][last] - 1] if len(at) else [np.zeros(0, int)] * 3))
-    columns = [pa.array(c, pa.int32()) for c in np.concatenate([*found, np.zeros((3, 0))], axis=1).astype(np.int32)]
-    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=["y", "x0", "x1"]))
-    return pa.StructArray.from_arrays([pa.array(areas, pa.int64()), lists], names=["area", "ends"])
-
-
-def largest_ends(masks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Per page: w, h, area and ends (y, x0, x1 of each line) of the largest area, for pages that are known to be small.
-
-    Pages pass in Arrow batches, many at a time: a call of Python for each page cost more than its pixels.
-    """
-    bound_batches(masks.sparkSession)
-    whole = masks.groupBy(*keys).agg(
-        F.max(F.size("mask")).alias("w"), (F.max("y") + 1).alias("h"),
-        F.sort_array(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("mask").cast("array<int>").alias("mask")))).alias("_lines"))
-    return whole.select(*keys, "w", "h", _largest_ends("_lines").alias("_a")).select(*keys, "w", "h", "_a.area", "_a.ends")
+    own, size = p.best()
+    at, first = np.unique(p.rows[own], return_index=True)
+    last = np.append(first[1:], own.sum())[: len(at)] - 1
+    columns = [pa.array(c.astype(np.int32)) for c in (p.y[at], p.starts[own][first], p.ends[own][last] - 1)]
+    counts = np.bincount(p.page[at], minlength=len(p.n))
+    return size, p.lists(pa.StructArray.from_arrays(columns, names=["y", "x0", "x1"]), counts)
 
 
 @F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in "xy"])))
 def hull_of_ends(pages: pa.Array) -> pa.Array:
     """Hull points in order, of each page's line ends."""
-    hulls = [_chain(np.array([(x, e["y"]) for e in page for x in {e["x0"], e["x1"]}]).reshape(-1, 2)) for page in pages.to_pylist()]
+    y, x0, x1 = (c.to_numpy(zero_copy_only=False) for c in pages.flatten().flatten())
+    points = np.stack([np.concatenate([x0, x1]), np.concatenate([y, y])], axis=1)
+    ends, n = np.cumsum(list_sizes(pages)), len(y)
+    hulls = [_chain(points[np.r_[a:b, n + a : n + b]].tolist()) for a, b in zip(np.append(0, ends), ends)]
     xy = np.concatenate([*[h.reshape(-1, 2) for h in hulls], np.zeros((0, 2))]).astype(np.int32)
     points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hulls)]).astype(np.int32)), points)
 
 
-def _strip_areas(keys: tuple[str, ...]):
-    """Areas of a strip (side 0) and the runs of its first (1) and last (2) line, with their area's label."""
-    def run(group: pa.Table) -> pa.Table:
-        group, y, mask = _stacked(group)
-        rows, starts, ends, label = labels(mask)
-        place = y[rows].astype(np.int64) * _LINE + starts
-        own, area = np.unique(label), np.bincount(label, weights=ends - starts, minlength=1).astype(np.int64)
-        top, bottom = np.flatnonzero(rows == 0), np.flatnonzero(rows == len(y) - 1)
-        at = np.concatenate([own, top, bottom])
-        side = np.repeat([0, 1, 2], [len(own), len(top), len(bottom)])
-        first = {k: group[k].combine_chunks().take(pa.array(np.zeros(len(at), np.int64))) for k in (*keys, "strip")}
-        return pa.table({**first, "side": pa.array(side.astype(np.int32)), "label": pa.array(place[label[at]]), "area": pa.array(area[label[at]]),
-                         "x0": pa.array(starts[at].astype(np.int32)), "x1": pa.array(ends[at].astype(np.int32))})
+@F.arrow_udf(ArrayType(_struct(side=IntegerType(), label=LongType(), area=LongType(), x0=IntegerType(), x1=IntegerType())))
+def _strip_areas(strips: pa.Array) -> pa.Array:
+    """Areas of each strip (side 0) and the runs of its first (1) and last (2) line, with their area's label.
 
-    return run
-
-
-def _border_links(keys: tuple[str, ...]):
-    def run(group: pa.Table) -> pa.Table:
-        side, x0, x1, label = (group[c].to_numpy() for c in ("side", "x0", "x1", "label"))
-        order = np.lexsort([x0, side == 1])  # the upper strip's last line, then the lower strip's first
-        line, x0, x1, label = (side[order] == 1).astype(np.int64), x0[order].astype(np.int64), x1[order].astype(np.int64), label[order]
-        upper, lower = touching(line, x0, x1, int(x1.max()))
-        first = {k: group[k].combine_chunks().take(pa.array(np.zeros(len(upper), np.int64))) for k in keys}
-        return pa.table({**first, "a": pa.array(label[upper]), "b": pa.array(label[lower])})
-
-    return run
+    Of the areas that touch neither line, which no other strip adds to, only the largest is given.
+    """
+    p = areas_of(strips)
+    ends = np.cumsum(p.n)
+    top, bottom = (np.flatnonzero(p.rows == line[p.own]) for line in (ends - p.n, ends - 1))
+    edge = np.unique(p.label[np.concatenate([top, bottom])])
+    own = np.concatenate([edge, p.largest(np.setdiff1d(np.flatnonzero(p.area), edge, assume_unique=True))])
+    at, side = np.concatenate([own, top, bottom]), np.repeat([0, 1, 2], [len(own), len(top), len(bottom)])
+    order = np.argsort(p.own[at], kind="stable")
+    at, side = at[order], side[order]
+    rows = pa.StructArray.from_arrays(
+        [pa.array(side.astype(np.int32)), pa.array(p.places()[p.label[at]]), pa.array(p.area[p.label[at]]),
+         pa.array(p.starts[at].astype(np.int32)), pa.array(p.ends[at].astype(np.int32))], names=["side", "label", "area", "x0", "x1"])
+    return p.lists(rows, np.bincount(p.own[at], minlength=len(p.n)))
+
+
+@F.arrow_udf(_LINES)
+def _marked(strips: pa.Array, labels: pa.Array) -> pa.Array:
+    """Lines of each strip with the areas of the given labels."""
+    p = areas_of(strips)
+    wanted, place = np.repeat(np.arange(len(p.n)), list_sizes(labels)), p.places()
+    kinds, code = np.unique(np.concatenate([place, flat(labels)]), return_inverse=True)
+    code += np.concatenate([p.own, wanted]) * len(kinds)
+    return p.painted(np.isin(code[: len(place)], code[len(place):])[p.label])
+
+
+@F.arrow_udf(ArrayType(_struct(a=LongType(), b=LongType())))
+def _border_links(borders: pa.Array) -> pa.Array:
+    """Labels that touch at each border, of runs (below, x0, x1, label) of the line above it and the one below it."""
+    n = list_sizes(borders)
+    below, x0, x1, label = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in borders.flatten().flatten())
+    line = 3 * np.repeat(np.arange(len(n)), n) + below
+    upper, lower = touching(line, x0, x1, int(x1.max(initial=0)))
+    pairs = pa.StructArray.from_arrays([pa.array(label[upper]), pa.array(label[lower])], names=["a", "b"])
+    return Pages.lists(pairs, np.bincount(line[upper] // 3, minlength=len(n)))
 
 
 def contracted(links: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -176,31 +209,31 @@ def largest_component(masks: DataFrame, keys: tuple[str, ...] = ("doc_id", "page
     """Lines of the largest connected area: comp (0/1 per pixel) and its area; the first in reading order on ties.
 
     All lines of a page are as wide as each other. ``strip`` None: pages are known to be small and stay whole.
+    Pages and strips pass in Arrow batches, many at a time.
     """
-    kinds = dict(masks.dtypes)
-    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    out = f"{head}, y int, comp array<int>, area long"
-    cut = masks.select(*keys, F.col("y").cast("int").alias("y"), F.col("mask").cast("array<int>").alias("mask"))
-    if strip is None or cut.where(F.col("y") >= strip).isEmpty():
-        return cut.groupBy(*keys).applyInArrow(_page_largest(keys), out)
-    cut = cut.withColumn("strip", F.floor(F.col("y") / strip))
-    found = cut_lineage(cut.groupBy(*keys, "strip").applyInArrow(
-        _strip_areas(keys), f"{head}, strip long, side int, label long, area long, x0 int, x1 int"), "strip_areas")
+    bound_batches(masks.sparkSession)
+    out = [F.col("_line.y"), F.col("_line.comp"), F.col("area")]
+    if strip is None or masks.where(F.col("y") >= strip).isEmpty():
+        found = _whole(masks, *keys).select(*keys, _page_largest("_lines").alias("_a"))
+        return found.select(*keys, F.col("_a.area").alias("area"), F.explode("_a.lines").alias("_line")).select(*keys, *out)
+    # Keys as one struct: null keys are equal to each other.
+    cut = masks.select(F.struct(*keys).alias("_page"), F.floor(F.col("y") / strip).alias("strip"), "y", "mask")
+    strips = _whole(cut, "_page", "strip")
+    # A strip without any pixel set has one row of nulls: it may be part of a page that has an area.
+    found = cut_lineage(strips.select("_page", "strip", F.explode_outer(_strip_areas("_lines")).alias("_f")).select("_page", "strip", "_f.*"), "strip_areas")
     meet = found.where("side > 0").withColumn("strip", F.expr("if(side = 1, strip, strip + 1)"))
-    links = meet.groupBy(*keys, "strip").applyInArrow(_border_links(keys), f"{head}, a long, b long")
-    own = found.where("side = 0").join(contracted(links, keys), [*keys, "label"], "left").withColumn("root", F.coalesce("root", "label"))
-    best = own.groupBy(*keys, "root").agg(F.sum("area").alias("area")).groupBy(*keys).agg(F.max_by(F.struct("root", "area"), F.struct("area", -F.col("root"))).alias("best"))
-    chosen = own.join(best.select(*keys, "best.root"), [*keys, "root"], "left_semi").groupBy(*keys, "strip").agg(F.collect_list("label").alias("labels"))
-
-    def mark(group: pa.Table) -> pa.Table:
-        group, y, mask = _stacked(group)
-        rows, starts, ends, label = labels(mask)
-        place = y[rows].astype(np.int64) * _LINE + starts
-        area = group["area"][0].as_py() or 0
-        return _result(group, keys, _painted(mask, rows, starts, ends, np.isin(place[label], group["labels"][0].as_py() or [])), area)
-
-    sized = cut.join(best.select(*keys, "best.area"), [*keys], "left").join(chosen, [*keys, "strip"], "left")
-    return sized.groupBy(*keys, "strip").applyInArrow(mark, out)
+    # The upper strip's last line, then the lower strip's first.
+    runs = F.struct((F.col("side") == 1).cast("int").alias("below"), "x0", "x1", "label")
+    borders = meet.groupBy("_page", "strip").agg(F.sort_array(F.collect_list(runs)).alias("_runs")).where("_runs[0].below = 0 AND _runs[size(_runs) - 1].below = 1")
+    links = borders.select("_page", F.explode(_border_links("_runs")).alias("_l")).select("_page", "_l.a", "_l.b")
+    own = found.where("side = 0").join(contracted(links, ("_page",)), ["_page", "label"], "left").withColumn("root", F.coalesce("root", "label"))
+    best = own.groupBy("_page", "root").agg(F.sum("area").alias("area")).groupBy("_page").agg(
+        F.max_by(F.struct("root", "area"), F.struct("area", -F.col("root"))).alias("best")).select("_page", "best.*")
+    chosen = own.select("_page", "strip", "label", "root").join(best, ["_page", "root"]).groupBy("_page", "strip").agg(F.collect_list("label").alias("labels"))
+    marks = found.select("_page", "strip").distinct().join(best.select("_page", "area"), "_page", "left").join(chosen, ["_page", "strip"], "left")
+    labels = F.coalesce("labels", F.expr("CAST(array() AS ARRAY<BIGINT>)"))
+    lines = strips.join(marks, ["_page", "strip"]).select("_page", F.expr("coalesce(area, 0L)").alias("area"), F.explode(_marked("_lines", labels)).alias("_line"))
+    return lines.select(*[F.col(f"_page.{k}").alias(k) for k in keys], *out)
 
 
 def _chain(points: np.ndarray) -> np.ndarray:
