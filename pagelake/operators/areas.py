@@ -9,6 +9,9 @@ A label is the place of an area's first run, so that the least one is the first
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +22,8 @@ from ..session import cut_lineage
 
 #: Lines of a strip, and of a part of a hull's points.
 STRIP, CHUNK = 1024, 4096
+#: Pixels whose runs are worked out at a time.
+PART = 1 << 18
 _LINE = 1 << 24  # more pixels than a line has
 
 
@@ -103,6 +108,25 @@ class Pages:
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
 
 
+def in_parts(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns, the first of which has pages, cut into parts of about PART pixels: arrays of a whole batch were measured to be slow."""
+    upto = np.append(0, np.cumsum(list_sizes(columns[0].flatten().field(1))))[np.append(0, np.cumsum(list_sizes(columns[0])))]
+    start, n = 0, len(columns[0])
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + PART, side="right")) - 1)
+        yield tuple(c.slice(start, end - start) for c in columns)
+        start = end
+
+
+def by_parts(step: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    @wraps(step)
+    def run(*columns: pa.Array) -> pa.Array:
+        done = [step(*part) for part in in_parts(*columns)]
+        return pa.concat_arrays(done) if done else step(*columns)
+
+    return run
+
+
 def areas_of(pages: pa.ListArray) -> Pages:
     p = Pages(pages)
     return p.of_pixels(p.px)
@@ -116,6 +140,7 @@ _LINES = ArrayType(_struct(y=IntegerType(), comp=ArrayType(IntegerType())))
 
 
 @F.arrow_udf(_struct(area=LongType(), lines=_LINES))
+@by_parts
 def _page_largest(pages: pa.Array) -> pa.Array:
     p = areas_of(pages)
     chosen, size = p.best()
@@ -151,6 +176,7 @@ def hull_of_ends(pages: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(ArrayType(_struct(side=IntegerType(), label=LongType(), area=LongType(), x0=IntegerType(), x1=IntegerType())))
+@by_parts
 def _strip_areas(strips: pa.Array) -> pa.Array:
     """Areas of each strip (side 0) and the runs of its first (1) and last (2) line, with their area's label.
 
@@ -171,6 +197,7 @@ def _strip_areas(strips: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(_LINES)
+@by_parts
 def _marked(strips: pa.Array, labels: pa.Array) -> pa.Array:
     """Lines of each strip with the areas of the given labels."""
     p = areas_of(strips)

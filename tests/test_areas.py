@@ -1,9 +1,10 @@
 """Connected areas and hulls of pages cut into strips against whole pages."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagelake.operators import areas, detect
+from pagelake.operators import areas, detect, raster
 
 MASK = "doc_id long, page_no int, y int, mask array<int>"
 
@@ -116,3 +117,27 @@ def test_areas_of_many_pages_pass_in_batches(spark, strip):
         best = biggest(pages[d])
         assert sorted(lines) == list(range(len(pages[d]))) and {a for _, a in lines.values()} == {len(best)}
         assert {(y, x) for y, (comp, _) in lines.items() for x, v in enumerate(comp) if v} == best
+
+
+def test_reduced_pages_are_gathered_once_for_all_steps(spark, monkeypatch):
+    """Blur, threshold and areas of many pages in one batch are those of the single operators."""
+    rng = np.random.default_rng(12)
+    pages = {d: np.full((3, 4), 70) if d % 7 == 0 else rng.integers(0, 256, (rng.integers(2, 9), 2 + d % 9)) for d in range(60)}
+    df = spark.createDataFrame([(d, 1, y, row.tolist()) for d, m in pages.items() for y, row in enumerate(m)], "doc_id long, page_no int, y int, px array<int>").coalesce(1)
+    plan = detect.detect_document(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroups" not in plan
+    blurred = {}
+    for r in raster.box_blur(df).orderBy("y").collect():
+        blurred.setdefault(r.doc_id, []).append(r.px)
+    limit = {r.doc_id: r.threshold for r in raster.otsu(raster.box_blur(df)).collect()}
+    order = list(pages)
+    kind = pa.list_(pa.struct([("y", pa.int32()), ("px", pa.list_(pa.int32()))]))
+    monkeypatch.setattr(areas, "PART", 100)
+    found = detect._both_areas.func(pa.array([[{"y": y, "px": row.tolist()} for y, row in enumerate(pages[d])] for d in order], kind)).to_pylist()
+    for d, both in zip(order, found):
+        assert [b["bright"] for b in both] == [1, 0]
+        for b in both:
+            best = biggest((np.array(blurred[d]) > limit[d]) == (b["bright"] == 1))
+            assert b["area"] == len(best)
+            assert [(e["y"], e["x0"], e["x1"]) for e in b["ends"]] == [
+                (y, min(x for v, x in best if v == y), max(x for v, x in best if v == y)) for y in sorted({v for v, _ in best})]
